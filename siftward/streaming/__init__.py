@@ -1,0 +1,5 @@
+"""Empty on purpose.
+
+The reference has no streams: its 7 and 30 day windows are batch predicates
+relative to a clock, and they live in ``operators.popularity``.
+"""
