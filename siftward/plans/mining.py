@@ -25,11 +25,12 @@ def mid_download_packages(
     downloads: DataFrame,
     as_of: datetime,
     order: Sequence[str] = RELEASE_ORDER,
+    between: tuple[int, int] = MID_DOWNLOADS,
     limit: int = MID_DOWNLOAD_PACKAGES,
 ) -> DataFrame:
     """Packages in the middle of the download range that rest for a year."""
     counts = downloads_in_30_days(downloads, as_of)
-    middle = counts.filter(F.col("download_count").between(*MID_DOWNLOADS))
+    middle = counts.filter(F.col("download_count").between(*between))
     current = latest_release(
         dist, ["version", "upload_time", "summary", "home_page"], order
     )

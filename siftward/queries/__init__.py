@@ -1,6 +1,11 @@
 """Queries over the given tables, each with its oracle where SQL can state it."""
 
-from siftward.queries import package_queries  # noqa: F401
+from siftward.queries import (  # noqa: F401
+    corpus_queries,
+    label_queries,
+    model_queries,
+    package_queries,
+)
 from siftward.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
