@@ -2,6 +2,7 @@
 
 import random
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -37,6 +38,8 @@ class Settings:
     boosting_depth: int = 3
     boosting_step: float = 0.1
     max_iterations: int = 1000
+    logistic_tolerance: float = 1e-4
+    svm_tolerance: float = 1e-3
     voters: Sequence[str] = field(default=VOTERS)
 
 
@@ -56,15 +59,16 @@ def classifier_stages(name: str, n_rows: int, settings: Settings = Settings()) -
     if name == "log_reg":
         return [
             LogisticRegression(
-                maxIter=settings.max_iterations, regParam=penalty, standardization=False,
-                **common, **probability,
+                maxIter=settings.max_iterations, tol=settings.logistic_tolerance,
+                regParam=penalty, standardization=False, **common, **probability,
             )
         ]
     if name == "svm":
         # The margin has no probability; a logistic curve over it gives one.
         return [
             LinearSVC(
-                maxIter=settings.max_iterations, regParam=penalty, standardization=False, **common
+                maxIter=settings.max_iterations, tol=settings.svm_tolerance,
+                regParam=penalty, standardization=False, **common,
             ),
             LogisticRegression(
                 featuresCol="svm_raw", rawPredictionCol="svm_curve", regParam=penalty,
@@ -86,14 +90,19 @@ def classifier_stages(name: str, n_rows: int, settings: Settings = Settings()) -
         ]
     if name == "boosting":
         return [
-            GBTClassifier(
+            _boosting().setParams(
                 maxIter=settings.boosting_rounds, maxDepth=settings.boosting_depth,
-                stepSize=settings.boosting_step, seed=SEED, **common, **probability,
+                stepSize=settings.boosting_step,
             )
         ]
     raise ValueError(f"unknown classifier: {name}")
 
 
+def _boosting() -> GBTClassifier:
+    stage = GBTClassifier(seed=SEED, predictionCol="boosting_prediction")
+    return stage.setRawPredictionCol("boosting_raw").setProbabilityCol("boosting_probability")
+
+
 def spam_probability(name: str) -> Column:
     return vector_to_array(F.col(f"{name}_probability"))[1]
 
@@ -123,16 +132,28 @@ def _labelled(train: DataFrame) -> DataFrame:
     return train.drop("label", "key")
 
 
+# Every iteration runs one task per partition, which should be worth its start.
+ROWS_PER_TASK = 10_000
+
+
+@contextmanager
+def stored(rows: DataFrame):
+    """Rows kept in memory, in few enough partitions, with their number."""
+    kept = rows.persist()
+    try:
+        n_rows = kept.count()
+        tasks = min(kept.rdd.getNumPartitions(), n_rows // ROWS_PER_TASK + 1)
+        yield kept.coalesce(tasks), n_rows
+    finally:
+        kept.unpersist()
+
+
 def train_ensemble(train: DataFrame, settings: Settings = Settings()) -> PipelineModel:
     """Encoding and all voters, fitted in one go on training rows."""
     encoding = encoder(_labelled(train))
-    encoded = encoding.transform(train).persist()
-    try:
-        n_rows = encoded.count()
+    with stored(encoding.transform(train)) as (rows, n_rows):
         stages = [s for v in settings.voters for s in classifier_stages(v, n_rows, settings)]
-        fitted = Pipeline(stages=stages).fit(encoded)
-    finally:
-        encoded.unpersist()
+        fitted = Pipeline(stages=stages).fit(rows)
     return PipelineModel([*encoding.stages, *fitted.stages])
 
 
@@ -148,15 +169,14 @@ def compare_models(
 ) -> DataFrame:
     """Accuracy, recall and area per model, each on its own predictions."""
     encoding = encoder(_labelled(train))
-    fitting = encoding.transform(train).persist()
-    held_out = encoding.transform(test).persist()
-    n_rows = fitting.count()
     rows = []
-    for name in names:
-        model = Pipeline(stages=classifier_stages(name, n_rows, settings)).fit(fitting)
-        rows.append((name, *_measures(model, fitting, held_out, name)))
-    fitting.unpersist()
-    held_out.unpersist()
+    with (
+        stored(encoding.transform(train)) as (fitting, n_rows),
+        stored(encoding.transform(test)) as (held_out, _),
+    ):
+        for name in names:
+            model = Pipeline(stages=classifier_stages(name, n_rows, settings)).fit(fitting)
+            rows.append((name, *_measures(model, fitting, held_out, name)))
     types = ", ".join(f"{m} double" for m in MEASURES)
     return train.sparkSession.createDataFrame(rows, f"model string, {types}").select(
         "model", *(F.round(m, 3).alias(m) for m in MEASURES)
@@ -181,10 +201,11 @@ def feature_importances(
     train: DataFrame, top: int = 15, settings: Settings = Settings()
 ) -> DataFrame:
     """The features a forest relies on most, with their share."""
-    encoded = encoder(_labelled(train)).transform(train)
-    (forest,) = classifier_stages("random_forest", 1, settings)
-    model = forest.fit(encoded)
-    shares = zip(feature_names(encoded), model.featureImportances.toArray().tolist(), strict=True)
+    with stored(encoder(_labelled(train)).transform(train)) as (rows, n_rows):
+        (forest,) = classifier_stages("random_forest", n_rows, settings)
+        model = forest.fit(rows)
+        names = feature_names(rows)
+    shares = zip(names, model.featureImportances.toArray().tolist(), strict=True)
     frame = train.sparkSession.createDataFrame(list(shares), "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -242,9 +263,7 @@ def tune_forest(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidator
 
 def tune_boosting(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidatorModel:
     """Random search over rounds, step and depth, refitted on all rows."""
-    boosting = GBTClassifier(
-        seed=SEED, probabilityCol="boosting_probability", **_outputs("boosting")
-    )
+    boosting = _boosting()
     draw = random.Random(SEED)
     grid = [
         {
