@@ -1,6 +1,6 @@
 """Small helpers the feature expressions share."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
@@ -41,3 +41,8 @@ def instant(moment, dtype: DataType) -> Column:
     Comparing like with like keeps the predicate pushable into the scan.
     """
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(dtype)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

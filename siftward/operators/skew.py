@@ -9,6 +9,15 @@ from pyspark.sql.window import Window
 HOT_KEYS = 1000
 
 
+def use_all_cores(rows: DataFrame) -> DataFrame:
+    """Spread rows whose files make fewer tasks than there are cores.
+
+    Large inputs have more splits than that and pass through unchanged.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -19,6 +28,7 @@ def lookup_join(
 ) -> DataFrame:
     """Left join many rows to a lookup with one row per key, hot keys apart.
 
+    The lookup is read three times, so it should be a stored table.
     ``weight`` says how many rows carry each key. A key with at least one part
     in ``hot_keys`` of all rows is hot, so there are never more hot keys than
     that, and their lookup rows are broadcast. All other keys go through a

@@ -238,7 +238,7 @@ def _(t):
 def _(t):
     raw = cut_lineage(feature_table(t.dist, t.downloads, t.ground_truth, DOWNLOADS_AS_OF, ORDER))
     texts = TextModels.fit(raw)
-    finished = cut_lineage(enrich(raw, texts))
+    finished = cut_lineage(enrich(raw, texts, distance=texts.own_distance()))
     train, _ = split_features(finished)
     model = train_ensemble(train, Settings(forest_trees=50))
     unlabelled = (

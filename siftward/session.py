@@ -1,6 +1,7 @@
 """Session settings for the jobs, and the places they share."""
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store as a table in the shared folder and go on from there.
+
+    Lost executors then cost no recomputation, and readers of the table get
+    column pruning and a known size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/siftward/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
