@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftward.models.encode import encoder, feature_names
 from siftward.models.evaluate import accuracy, recall, roc_auc, roc_points
 from siftward.models.split import stratified_split
+from siftward.session import cut_lineage
 
 SEED = 42
 VOTERS = ("decision_tree", "log_reg", "random_forest", "svm")
@@ -78,14 +79,15 @@ def classifier_stages(name: str, n_rows: int, settings: Settings = Settings()) -
     if name == "decision_tree":
         return [
             DecisionTreeClassifier(
-                maxDepth=settings.tree_depth, seed=SEED, **common, **probability
+                maxDepth=settings.tree_depth, seed=SEED, cacheNodeIds=True, **common,
+                **probability,
             )
         ]
     if name == "random_forest":
         return [
             RandomForestClassifier(
                 numTrees=settings.forest_trees, maxDepth=settings.forest_depth, seed=SEED,
-                **common, **probability,
+                cacheNodeIds=True, **common, **probability,
             )
         ]
     if name == "boosting":
@@ -118,9 +120,14 @@ def soft_vote(predicted: DataFrame, voters: Sequence[str] = VOTERS) -> DataFrame
 def split_features(
     features: DataFrame, key: str = "pkg_name", test_share: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows, both with a numeric ``label``."""
-    marked = stratified_split(features, key, "is_spam", test_share, SEED).withColumn(
-        "label", F.col("is_spam").cast("double")
+    """Training and test rows, both with a numeric ``label``.
+
+    The marked rows are stored, since training reads them again and again.
+    """
+    marked = cut_lineage(
+        stratified_split(features, key, "is_spam", test_share, SEED).withColumn(
+            "label", F.col("is_spam").cast("double")
+        )
     )
     return (
         marked.filter("is_test = false").drop("is_test"),
@@ -133,17 +140,19 @@ def _labelled(train: DataFrame) -> DataFrame:
 
 
 # Every iteration runs one task per partition, which should be worth its start.
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 1000
 
 
 @contextmanager
 def stored(rows: DataFrame):
-    """Rows kept in memory, in few enough partitions, with their number."""
+    """Rows kept in memory, in partitions of a fair size, with their number."""
     kept = rows.persist()
     try:
         n_rows = kept.count()
-        tasks = min(kept.rdd.getNumPartitions(), n_rows // ROWS_PER_TASK + 1)
-        yield kept.coalesce(tasks), n_rows
+        have = kept.rdd.getNumPartitions()
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        tasks = min(max(have, cores), n_rows // ROWS_PER_TASK + 1)
+        yield kept.coalesce(tasks) if tasks <= have else kept.repartition(tasks), n_rows
     finally:
         kept.unpersist()
 

@@ -99,10 +99,13 @@ class Tables:
         self.spark = spark
         self.folder = folder
 
+    def stored(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.stored(name)
         return use_all_cores(table) if name in _LARGE else table
 
     @cached_property
@@ -111,7 +114,7 @@ class Tables:
             DIST,
             lineitem=self.lineitem,
             part=self.part,
-            documents=self.documents,
+            documents=self.stored("documents"),
             pages=self.pages,
         )
 
