@@ -30,22 +30,22 @@ def stratified_split(
             "_label": F.coalesce(F.col(label).cast("string"), F.lit("")),
         }
     )
-    slices = hashed.groupBy("_label", "_slice").agg(F.count("*").alias("n"))
+    slices = hashed.groupBy("_label", "_slice").agg(F.count("*").alias("_n"))
     of_label = Window.partitionBy("_label")
     upto = of_label.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = slices.select(
         "_label",
         "_slice",
-        (F.sum("n").over(upto) - F.col("n")).alias("_before"),
-        "n",
-        F.round(F.sum("n").over(of_label) * test_share).alias("_wanted"),
+        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
+        "_n",
+        F.round(F.sum("_n").over(of_label) * test_share).alias("_wanted"),
     )
     # How many rows of the slice are for testing: all, none, or some.
     taken = placed.select(
         "_label",
         "_slice",
-        "n",
-        F.greatest(F.lit(0), F.least("n", F.col("_wanted") - F.col("_before")))
+        "_n",
+        F.greatest(F.lit(0), F.least("_n", F.col("_wanted") - F.col("_before")))
         .cast("long")
         .alias("_taken"),
     )
@@ -53,7 +53,7 @@ def stratified_split(
     ranked = F.row_number().over(
         Window.partitionBy("_label", "_slice").orderBy("_hash", key)
     )
-    cut = (F.col("_taken") > 0) & (F.col("_taken") < F.col("n"))
+    cut = (F.col("_taken") > 0) & (F.col("_taken") < F.col("_n"))
     whole = marked.filter(~cut).withColumn("is_test", F.col("_taken") > 0)
     partly = marked.filter(cut).withColumn("is_test", ranked <= F.col("_taken"))
     columns = [*frame.columns, "is_test"]

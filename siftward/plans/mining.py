@@ -10,6 +10,8 @@ from siftward.functions.common import instant
 from siftward.operators.labels import not_listed
 from siftward.operators.popularity import downloads_in_30_days
 from siftward.operators.releases import RELEASE_ORDER, latest_release
+from siftward.operators.scope import Scope
+from siftward.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------
 MID_DOWNLOADS = (100, 1000)
@@ -30,9 +32,11 @@ def mid_download_packages(
 ) -> DataFrame:
     """Packages in the middle of the download range that rest for a year."""
     counts = downloads_in_30_days(downloads, as_of)
-    middle = counts.filter(F.col("download_count").between(*between))
+    # The log is read once; what is left of it limits the releases to read.
+    middle = cut_lineage(counts.filter(F.col("download_count").between(*between)))
+    listed = Scope(middle.select("name").filter("name is not null")).early(dist)
     current = latest_release(
-        dist, ["version", "upload_time", "summary", "home_page"], order
+        listed, ["version", "upload_time", "summary", "home_page"], order
     )
     year_ago = instant(
         as_of - timedelta(days=OLD_AFTER_DAYS), dist.schema["upload_time"].dataType
