@@ -172,53 +172,6 @@ def ensemble_scores(
     return soft_vote(model.transform(rows), voters)
 
 
-def compare_models(
-    train: DataFrame, test: DataFrame, names: Sequence[str] = (*VOTERS, "boosting"),
-    settings: Settings = Settings(),
-) -> DataFrame:
-    """Accuracy, recall and area per model, each on its own predictions."""
-    encoding = encoder(_labelled(train))
-    rows = []
-    with (
-        stored(encoding.transform(train)) as (fitting, n_rows),
-        stored(encoding.transform(test)) as (held_out, _),
-    ):
-        for name in names:
-            model = Pipeline(stages=classifier_stages(name, n_rows, settings)).fit(fitting)
-            rows.append((name, *_measures(model, fitting, held_out, name)))
-    types = ", ".join(f"{m} double" for m in MEASURES)
-    return train.sparkSession.createDataFrame(rows, f"model string, {types}").select(
-        "model", *(F.round(m, 3).alias(m) for m in MEASURES)
-    )
-
-
-def _measures(model: PipelineModel, train: DataFrame, test: DataFrame, name: str) -> tuple:
-    said = f"{name}_prediction"
-    seen = model.transform(train).agg(
-        accuracy(prediction=said).alias("a"), recall(prediction=said).alias("r")
-    ).first()
-    unseen = model.transform(test)
-    held = unseen.agg(
-        accuracy(prediction=said).alias("a"), recall(prediction=said).alias("r")
-    ).first()
-    scored = unseen.select("label", spam_probability(name).alias("score"))
-    area = roc_auc(roc_points(scored)).first()["auc"]
-    return seen["a"], held["a"], seen["r"], held["r"], area
-
-
-def feature_importances(
-    train: DataFrame, top: int = 15, settings: Settings = Settings()
-) -> DataFrame:
-    """The features a forest relies on most, with their share."""
-    with stored(encoder(_labelled(train)).transform(train)) as (rows, n_rows):
-        (forest,) = classifier_stages("random_forest", n_rows, settings)
-        model = forest.fit(rows)
-        names = feature_names(rows)
-    shares = zip(names, model.featureImportances.toArray().tolist(), strict=True)
-    frame = train.sparkSession.createDataFrame(list(shares), "feature string, importance double")
-    return frame.orderBy(F.desc("importance"), "feature").limit(top)
-
-
 # --- tuning ----------------------------------------------------------------
 
 
@@ -291,3 +244,65 @@ def best_setting(search: CrossValidatorModel) -> tuple[dict, float]:
     best = max(range(len(scores)), key=scores.__getitem__)
     chosen = search.getEstimatorParamMaps()[best]
     return {param.name: value for param, value in chosen.items()}, scores[best]
+
+
+SEARCHES = {
+    "decision_tree": tune_tree,
+    "random_forest": tune_forest,
+    "boosting": tune_boosting,
+}
+
+# --- comparison --------------------------------------------------------------
+
+
+def compare_models(
+    train: DataFrame, test: DataFrame, names: Sequence[str] = (*VOTERS, "boosting"),
+    settings: Settings = Settings(), budget: Budget | None = None,
+) -> DataFrame:
+    """Accuracy, recall and area per model, each on its own predictions.
+
+    With a budget, tree, forest and boosting are the best of a search.
+    """
+    encoding = encoder(_labelled(train))
+    rows = []
+    with (
+        stored(encoding.transform(train)) as (fitting, n_rows),
+        stored(encoding.transform(test)) as (held_out, _),
+    ):
+        for name in names:
+            if budget and name in SEARCHES:
+                model = PipelineModel([SEARCHES[name](fitting, budget).bestModel])
+            else:
+                model = Pipeline(stages=classifier_stages(name, n_rows, settings)).fit(fitting)
+            rows.append((name, *_measures(model, fitting, held_out, name)))
+    types = ", ".join(f"{m} double" for m in MEASURES)
+    return train.sparkSession.createDataFrame(rows, f"model string, {types}").select(
+        "model", *(F.round(m, 3).alias(m) for m in MEASURES)
+    )
+
+
+def _measures(model: PipelineModel, train: DataFrame, test: DataFrame, name: str) -> tuple:
+    said = f"{name}_prediction"
+    seen = model.transform(train).agg(
+        accuracy(prediction=said).alias("a"), recall(prediction=said).alias("r")
+    ).first()
+    unseen = model.transform(test)
+    held = unseen.agg(
+        accuracy(prediction=said).alias("a"), recall(prediction=said).alias("r")
+    ).first()
+    scored = unseen.select("label", spam_probability(name).alias("score"))
+    area = roc_auc(roc_points(scored)).first()["auc"]
+    return seen["a"], held["a"], seen["r"], held["r"], area
+
+
+def feature_importances(
+    train: DataFrame, top: int = 15, settings: Settings = Settings()
+) -> DataFrame:
+    """The features a forest relies on most, with their share."""
+    with stored(encoder(_labelled(train)).transform(train)) as (rows, n_rows):
+        (forest,) = classifier_stages("random_forest", n_rows, settings)
+        model = forest.fit(rows)
+        names = feature_names(rows)
+    shares = zip(names, model.featureImportances.toArray().tolist(), strict=True)
+    frame = train.sparkSession.createDataFrame(list(shares), "feature string, importance double")
+    return frame.orderBy(F.desc("importance"), "feature").limit(top)

@@ -125,14 +125,21 @@ def median_gap(dist: DataFrame) -> DataFrame:
     return ranked.groupBy("name").agg(middle.alias("t_median_release_gap_days"))
 
 
+def timing_features(as_of: datetime) -> dict[str, Column]:
+    """Age, count and timing, over the columns of ``release_profile``."""
+    return {
+        "t_age_first_release_days": age_days("first_upload", as_of),
+        "t_age_last_release_days": age_days("last_upload", as_of),
+        "n_versions": F.col("n_versions").cast("long"),
+        "has_single_release": F.col("n_versions") == 1,
+        "t_time_of_day_bucket": hour_bucket("last_upload"),
+        "cat_weekday_of_last_release": weekday("last_upload"),
+    }
+
+
 def release_features(profile: DataFrame, as_of: datetime) -> DataFrame:
-    """Age, count and timing; a package without any dated upload is left out."""
+    """Timing of each package; one without any dated upload is left out."""
     return profile.filter(F.col("last_upload").isNotNull()).select(
         F.col("name").alias("pkg_name"),
-        age_days("first_upload", as_of).alias("t_age_first_release_days"),
-        age_days("last_upload", as_of).alias("t_age_last_release_days"),
-        F.col("n_versions").cast("long").alias("n_versions"),
-        (F.col("n_versions") == 1).alias("has_single_release"),
-        hour_bucket("last_upload").alias("t_time_of_day_bucket"),
-        weekday("last_upload").alias("cat_weekday_of_last_release"),
+        *(column.alias(name) for name, column in timing_features(as_of).items()),
     )

@@ -22,6 +22,7 @@ from siftward.operators.releases import (
     median_gap,
     release_features,
     release_profile,
+    timing_features,
     version_files,
     versions_text,
 )
@@ -49,13 +50,17 @@ def feature_rows(
     """
     scope = Scope(names) if names is not None else None
     listed = scope.early(dist) if scope else dist
-    files = version_files(listed)
-    releases = release_profile(files)
-    timing = release_features(releases, as_of).join(
-        median_gap(listed).withColumnRenamed("name", "pkg_name"), "pkg_name", "left"
+    releases = release_profile(version_files(listed))
+    # A package without any dated upload has no row.
+    dated = releases.filter(F.col("last_upload").isNotNull()).select(
+        "name",
+        "first_upload",
+        "last_upload",
+        "version_files",
+        *_named(timing_features(as_of)),
     )
-    profile = package_profile(listed, order).join(
-        releases.select("name", "first_upload", "last_upload", "version_files"), "name"
+    profile = (
+        package_profile(listed, order).join(dated, "name").join(median_gap(listed), "name", "left")
     )
     if scope:
         profile = scope.late(profile)
@@ -84,8 +89,7 @@ def feature_rows(
         dependents = dependent_counts(listed, scope)
     rules = rule_features("has_repo_url", "n_desc_len", "has_suspicious_kw")
     return (
-        described.join(timing, "pkg_name")
-        .join(download_counts(downloads, as_of), "pkg_name", "left")
+        described.join(download_counts(downloads, as_of), "pkg_name", "left")
         .join(dependents, "pkg_name", "left")
         .withColumns(rules)
         .select(*config.FEATURE_COLUMNS)

@@ -33,8 +33,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def repaired(rows: DataFrame) -> DataFrame:
     """Types for exported feature rows that came in as text.
 
-    Columns that are not there are left out. Text loses its line breaks, lists
-    are parsed, flags become numbers.
+    Text loses its line breaks, lists are parsed, flags become numbers.
     """
 
     def repair(name: str) -> Column:
@@ -59,16 +58,10 @@ def repaired(rows: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """An exported feature file, as JSON lines or as one JSON document.
 
-    Only the keys the file's rows have, as seen in it, become columns.
+    Keys that the export lacks become empty columns.
     """
     raw = spark.read.schema(schemas.RAW_FEATURES).json(path, multiLine=not lines)
-    return repaired(raw.select(*_present(raw)))
-
-
-def _present(raw: DataFrame) -> list[str]:
-    """Columns with a value anywhere, plus those every export has."""
-    seen = raw.agg(*(F.bool_or(F.col(c).isNotNull()).alias(c) for c in raw.columns)).first()
-    return [c for c in raw.columns if seen[c] or c in config.FEATURE_COLUMNS]
+    return repaired(raw)
 
 
 def read_finished_features(spark: SparkSession, path: str) -> DataFrame:

@@ -65,13 +65,8 @@ NUMBER_FEATURES = [
 ]
 MOMENT_FEATURES = ["t_first_release", "t_last_release"]
 
-RAW_FEATURES = StructType(
-    _fields(
-        StringType(),
-        *TEXT_FEATURES, *COUNT_FEATURES, *BOOLEAN_FEATURES, *NUMBER_FEATURES,
-        *MOMENT_FEATURES, *config.FLAG_COLUMNS, *config.LIST_COLUMNS,
-    )
-)
+# An export of raw feature rows, before any repair.
+RAW_FEATURES = StructType(_fields(StringType(), *config.FEATURE_COLUMNS, "is_spam"))
 
 FINISHED_FEATURES = StructType(
     _fields(StringType(), "pkg_name", "cat_name_case", "cat_weekday_of_last_release",

@@ -123,6 +123,11 @@ def test_tuning(features):
     assert width["featureSubsetStrategy"] in ("1", "3")
     draw, _ = training.best_setting(training.tune_boosting(encoded, budget))
     assert draw["maxIter"] in (2, 3) and 0.01 <= draw["stepSize"] <= 0.21 and 2 <= draw["maxDepth"] <= 4
+    _, test = training.split_features(features)
+    tuned = training.compare_models(
+        train, test, ("decision_tree", "random_forest", "boosting"), SMALL, budget
+    ).collect()
+    assert len(tuned) == 3 and all(r["test_auc"] >= 0.5 for r in tuned)
     assert len(Budget().tree_gains) == 201 and len(Budget().forest_widths) == 18
 
 
