@@ -1,6 +1,5 @@
 """Session settings for the jobs, and the places they share."""
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +24,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a scratch one only if unset."""
+    """The checkpoint folder the cluster names; where none is set, one in its warehouse.
+
+    Both are storage that all machines of a cluster share, never a machine's own disk.
+    """
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="siftward-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/siftward_stored"
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
