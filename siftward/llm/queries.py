@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op6_decontamination": op6_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
