@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.token_counts import op1_token_counts
+from siftward.llm.token_store import op9_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLES: dict[str, str] = {}
