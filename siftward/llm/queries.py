@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.token_counts import op1_token_counts
 from siftward.llm.token_store import op9_token_store
+from siftward.llm.warc import ORACLE as WARC_ORACLE
+from siftward.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": WARC_ORACLE,
+}
