@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftward.llm.decontamination import op6_decontamination
+from siftward.llm.quality import op10_quality_rules
 from siftward.llm.token_counts import op1_token_counts
 from siftward.llm.token_store import op9_token_store
 from siftward.llm.warc import ORACLE as WARC_ORACLE
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
