@@ -23,7 +23,7 @@ WIDE_BLANK = re.compile(
 )
 CHUNK = 1 << 20
 ENCODE_BYTES = 256 << 10
-CACHE_PIECES, CACHE_BYTES = 400_000, 24 << 20
+CACHE_PIECES, CACHE_BYTES = 1_200_000, 24 << 20
 
 _loaded: dict[int, object] = {}
 
@@ -109,8 +109,9 @@ class Cache:
         missing = needed.difference(self.known)
         more = sum(map(len, missing))
         if len(self.known) + len(missing) > CACHE_PIECES or self.bytes + more > CACHE_BYTES:
-            self.known, self.bytes, missing = {}, 0, needed
-            more = sum(map(len, missing))
+            # Frequent pieces are among those needed now, and stay.
+            self.known = {p: self.known[p] for p in needed.difference(missing)}
+            self.bytes = sum(map(len, self.known))
         self.bytes += more
         batch, size = [], 0
         for piece in sorted(missing, key=len):
