@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.quality import op10_quality_rules
+from siftward.llm.simhash import op3_simhash
 from siftward.llm.token_counts import op1_token_counts
 from siftward.llm.token_store import op9_token_store
 from siftward.llm.toxicity import op4_toxicity
@@ -16,6 +17,7 @@ from siftward.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_warc": op8_warc,
