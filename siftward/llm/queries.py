@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.quality import op10_quality_rules
 from siftward.llm.simhash import op3_simhash
+from siftward.llm.substring_dedup import op5_substring_dedup
 from siftward.llm.token_counts import op1_token_counts
 from siftward.llm.token_store import op9_token_store
 from siftward.llm.toxicity import op4_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
