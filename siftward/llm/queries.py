@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftward.llm.decontamination import op6_decontamination
+from siftward.llm.mixing import ORACLE as MIXING_ORACLE
+from siftward.llm.mixing import op2_mixing
 from siftward.llm.quality import op10_quality_rules
 from siftward.llm.simhash import op3_simhash
 from siftward.llm.substring_dedup import op5_substring_dedup
@@ -18,6 +20,7 @@ from siftward.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
@@ -28,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": MIXING_ORACLE,
     "op8_warc": WARC_ORACLE,
 }
