@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.mixing import ORACLE as MIXING_ORACLE
 from siftward.llm.mixing import op2_mixing
+from siftward.llm.preferences import ORACLE as PREFERENCES_ORACLE
+from siftward.llm.preferences import op7_preferences
 from siftward.llm.quality import op10_quality_rules
 from siftward.llm.simhash import op3_simhash
 from siftward.llm.substring_dedup import op5_substring_dedup
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_preferences": op7_preferences,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
@@ -32,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": MIXING_ORACLE,
+    "op7_preferences": PREFERENCES_ORACLE,
     "op8_warc": WARC_ORACLE,
 }
