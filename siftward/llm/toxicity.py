@@ -78,15 +78,23 @@ class Swaps:
                 self.other[term] = terms[k + 1 :] + terms[:k]
 
     def counterfactual(self, text: bytes) -> set[bytes] | None:
-        """Distinct words of the text with the identity terms of its sentences swapped; None without any."""
+        """Distinct words of the text with the identity terms of its sentences swapped; None without any.
+
+        Which term comes in depends on the sentence, so that over many texts each stands for each.
+        """
         out: set[bytes] = set()
         swapped = False
-        for number, sentence in enumerate(SENTENCE_END.split(text.decode("utf-8", "replace"))):
-            for word in words_of(sentence.encode()):
+        for sentence in SENTENCE_END.split(text.decode("utf-8", "replace")):
+            words = words_of(sentence.encode())
+            if self.other.keys().isdisjoint(words):
+                out.update(words)
+                continue
+            swapped = True
+            place = zlib.crc32(b" ".join(words))
+            for word in words:
                 others = self.other.get(word)
                 if others:
-                    swapped = True
-                    word = others[(number + zlib.crc32(word)) % len(others)]
+                    word = others[place % len(others)]
                 out.add(word)
         return out if swapped else None
 
