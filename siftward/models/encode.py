@@ -77,7 +77,8 @@ def encoder(frame: DataFrame, output: str = "features", scale: bool = True) -> P
     """Fitted stages from feature columns to one vector with named entries."""
     texts, numbers = split_columns(frame)
     columns = one_hot_columns(learn_categories(frame, texts))
-    columns |= {n: f"CAST(`{n}` AS DOUBLE)" for n in numbers}
+    # A vector has no missing entries; a number that is missing or not a number counts as 0.
+    columns |= {n: f"coalesce(nanvl(CAST(`{n}` AS DOUBLE), 0.0D), 0.0D)" for n in numbers}
     if scale:
         columns = standardised(frame, columns)
     inputs = [f"_{output}_{name}" for name in columns]

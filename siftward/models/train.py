@@ -30,11 +30,14 @@ MEASURES = ("train_accuracy", "test_accuracy", "train_recall", "test_recall", "t
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the models; the defaults are those of the full training."""
+    """Sizes of the models; the defaults are those of the full training.
+
+    Trees have no depth limit there; 30 is the most Spark allows.
+    """
 
     forest_trees: int = 200
     tree_depth: int = 30
-    forest_depth: int = 20
+    forest_depth: int = 30
     boosting_rounds: int = 100
     boosting_depth: int = 3
     boosting_step: float = 0.1
@@ -122,10 +125,13 @@ def split_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test rows, both with a numeric ``label``.
 
-    The marked rows are stored, since training reads them again and again.
+    Averaged labels count as their whole part, so a package is spam if all its labels say so. Rows without a
+    label cannot be learnt from or judged and are left out. The marked rows are stored, since
+    training reads them again and again.
     """
+    whole = features.filter("is_spam is not null").withColumn("is_spam", F.col("is_spam").cast("int"))
     marked = cut_lineage(
-        stratified_split(features, key, "is_spam", test_share, SEED).withColumn(
+        stratified_split(whole, key, "is_spam", test_share, SEED).withColumn(
             "label", F.col("is_spam").cast("double")
         )
     )
@@ -215,7 +221,7 @@ def tune_tree(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidatorMo
 def tune_forest(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidatorModel:
     """Search for how many features a split may look at."""
     forest = RandomForestClassifier(
-        numTrees=budget.forest_trees, maxDepth=20, minInstancesPerNode=5, seed=SEED,
+        numTrees=budget.forest_trees, maxDepth=30, minInstancesPerNode=5, seed=SEED,
         probabilityCol="random_forest_probability", **_outputs("random_forest"),
     )
     widths = [str(w) for w in budget.forest_widths]

@@ -16,10 +16,10 @@ def distinct_values(column: str) -> Column:
     return F.array_sort(F.collect_set(column))
 
 
-def distinct_elements(column: str) -> Column:
-    """Distinct elements of all lists; equal lists collapse before the shuffle."""
-    elements = F.flatten(F.collect_set(column))
-    return F.array_sort(F.array_distinct(F.filter(elements, lambda e: e.isNotNull())))
+def distinct_elements(rows: DataFrame, column: str, target: str) -> DataFrame:
+    """Per package the distinct elements of all lists, made distinct one by one before they are gathered."""
+    pairs = rows.select("name", F.explode(column).alias("_e")).filter("_e is not null").distinct()
+    return pairs.groupBy("name").agg(F.array_sort(F.collect_list("_e")).alias(target))
 
 
 def joined_values(column: str, separator: str) -> Column:
@@ -29,12 +29,22 @@ def joined_values(column: str, separator: str) -> Column:
 
 
 def package_profile(dist: DataFrame, order: Sequence[str] = RELEASE_ORDER) -> DataFrame:
-    """Newest release and distinct values of each package, in one aggregation."""
-    return dist.groupBy("name").agg(
+    """Newest release and distinct values of each package.
+
+    Elements of lists are gathered in an aggregation of their own, so that a cell is as long as
+    its distinct elements and never holds whole lists.
+    """
+    classifiers = distinct_elements(dist, "classifiers", "distinct_classifiers")
+    profile = dist.groupBy("name").agg(
         newest(LATEST_FIELDS, order).alias("latest"),
         joined_values("license", ", ").alias("licenses"),
         distinct_values("author_email").alias("distinct_authors"),
         distinct_values("maintainer_email").alias("distinct_maintainers"),
         distinct_values("keywords").alias("distinct_keywords"),
-        distinct_elements("classifiers").alias("distinct_classifiers"),
+    )
+    none = F.array().cast(dist.schema["classifiers"].dataType)
+    joined = profile.join(classifiers, profile["name"].eqNullSafe(classifiers["name"]), "left")
+    return joined.select(
+        *(profile[c] for c in profile.columns),
+        F.coalesce(classifiers["distinct_classifiers"], none).alias("distinct_classifiers"),
     )

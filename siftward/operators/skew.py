@@ -1,8 +1,5 @@
 """Joins and running totals that no single key or range can overload."""
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -10,12 +7,12 @@ HOT_KEYS = 1000
 
 
 def use_all_cores(rows: DataFrame) -> DataFrame:
-    """Spread rows whose files make fewer tasks than there are cores.
+    """Spread a table that is stored in fewer files than there are cores.
 
-    Large inputs have more splits than that and pass through unchanged.
+    Looks at the list of files only. Large tables have more files than that and pass through unchanged.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def lookup_join(
@@ -83,8 +80,3 @@ def running_totals(
         *points.columns,
         *((F.col(f"_sum_{c}") + F.col(f"_above_{c}")).alias(name) for c, name in totals.items()),
     )
-
-
-def join_on_name(base: DataFrame, others: Sequence[DataFrame], how: str = "left") -> DataFrame:
-    """Join frames that each have one row per ``pkg_name``."""
-    return reduce(lambda left, right: left.join(right, "pkg_name", how), others, base)

@@ -88,8 +88,10 @@ def feature_rows(
     else:
         dependents = dependent_counts(listed, scope)
     rules = rule_features("has_repo_url", "n_desc_len", "has_suspicious_kw")
+    # The log is the largest table: a short list drops other packages before any shuffle.
+    log = scope.early(downloads, "file.project") if scope else downloads
     return (
-        described.join(download_counts(downloads, as_of), "pkg_name", "left")
+        described.join(download_counts(log, as_of), "pkg_name", "left")
         .join(dependents, "pkg_name", "left")
         .withColumns(rules)
         .select(*config.FEATURE_COLUMNS)

@@ -445,8 +445,8 @@ FEATURE_LISTS = (
 )
 
 
-def sql_features(source, label):
-    """The wide feature row over ``kept`` rows of dist."""
+def sql_features(source, label, dependents="kept"):
+    """The wide feature row over ``kept`` rows of dist; requirements count in ``dependents``."""
     return f"""WITH kept AS ({source}),
     release_rows AS ({sql_release('kept', DOWNLOADS_AS_OF)}),
     newest_kept AS (SELECT *, {SURFACE} AS u FROM kept QUALIFY row_number() OVER (PARTITION BY name
@@ -472,7 +472,7 @@ def sql_features(source, label):
     files AS (SELECT k.name, count(*) AS n_distributions FROM kept k JOIN latest_rows l
         ON l.name = k.name AND l.latest_version = k.version GROUP BY k.name),
     popularity AS ({DOWNLOAD_COUNTS}),
-    dependents AS ({sql_dependents('kept')})
+    dependents AS ({sql_dependents(dependents)})
     SELECT r.*, l.* EXCLUDE (name, latest_version), o.* EXCLUDE (name), s.* EXCLUDE (name),
       coalesce(c.distinct_classifiers, '') AS distinct_classifiers, f.n_distributions,
       p.n_downloads_7d, p.n_downloads_30d, d.n_dependents_est, {RULES}{label}

@@ -26,7 +26,7 @@ SELECT
  {NAME} AS name,
  concat(CAST(l.l_linenumber AS STRING), '.', CAST(l.l_suppkey % 3 AS STRING)) AS version,
  l.l_shipdate AS upload_time,
- substr(d.text, 1, 60) AS summary,
+ split_part(d.text, chr(10), 1) AS summary,
  CASE WHEN p.p_partkey % 3 = 0 THEN d.text || chr(10) || 'See ' || coalesce(g.url, 'https://example.org') || ' ```x```'
       WHEN p.p_partkey % 7 = 0 THEN d.text || ' bitcoin' ELSE d.text END AS description,
  p.p_brand AS author,
@@ -137,6 +137,11 @@ class Tables:
     def good_names(self) -> DataFrame:
         return self.ground_truth.filter("is_spam = 0").select("package_name")
 
+    @cached_property
+    def unlabelled_names(self) -> DataFrame:
+        known = F.col("doc_id") == F.col("p_partkey")
+        return self.part_names.join(self.labels, known, "left_anti").select("name").distinct()
+
     @cached_property
     def downloads(self) -> DataFrame:
         named = self.events.join(self.part_names, F.col("user_id") == F.col("p_partkey"))

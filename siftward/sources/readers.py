@@ -58,15 +58,16 @@ def repaired(rows: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """An exported feature file, as JSON lines or as one JSON document.
 
-    Keys that the export lacks become empty columns.
+    Keys that the export lacks become empty columns; a broken line is an error. One
+    JSON document is read by one task, so large exports should be lines.
     """
-    raw = spark.read.schema(schemas.RAW_FEATURES).json(path, multiLine=not lines)
+    raw = spark.read.schema(schemas.RAW_FEATURES).json(path, multiLine=not lines, mode="FAILFAST")
     return repaired(raw)
 
 
 def read_finished_features(spark: SparkSession, path: str) -> DataFrame:
-    """Finished feature rows, ready for a model."""
-    return spark.read.schema(schemas.FINISHED_FEATURES).json(path)
+    """Finished feature rows, ready for a model; a broken line is an error."""
+    return spark.read.schema(schemas.FINISHED_FEATURES).json(path, mode="FAILFAST")
 
 
 # --- lists of spam names ---------------------------------------------------
@@ -96,8 +97,8 @@ def names_in_listing(entries: DataFrame, path: str, registry: str) -> DataFrame:
 
 
 def names_in_manifests(manifests: DataFrame, document: str) -> DataFrame:
-    """Keys of JSON objects, one object per row."""
-    parsed = F.from_json(F.col(document), MapType(StringType(), StringType()))
+    """Keys of JSON objects, one object per row; a broken object is an error."""
+    parsed = F.from_json(F.col(document), MapType(StringType(), StringType()), {"mode": "FAILFAST"})
     return manifests.select(F.explode(F.map_keys(parsed)).alias("package_name"))
 
 
@@ -107,5 +108,5 @@ def read_listing(spark: SparkSession, path: str, registry: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Names from JSON files whose keys are package names."""
+    """Names from JSON files whose keys are package names; each file is one row."""
     return names_in_manifests(spark.read.text(path, wholetext=True), "value")

@@ -36,8 +36,6 @@ FILE_DOWNLOADS = StructType(
 
 LABELS = StructType(_fields(StringType(), "package_name") + _fields(LongType(), "is_spam"))
 
-NAMES = StructType(_fields(StringType(), "package_name"))
-
 # Types of an exported feature row, where every scalar may arrive as text.
 TEXT_FEATURES = [
     "pkg_name", "cat_name_case", "t_time_of_day_bucket", "cat_weekday_of_last_release",

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
@@ -16,13 +17,14 @@ def write_features(rows: DataFrame, path: str) -> None:
 
 
 def append_labels(mined: DataFrame, path: str) -> None:
-    """Add mined packages to the label table, except those it has already."""
+    """Add mined packages to the label table, except those it has already; repeated rows are added once."""
     spark = mined.sparkSession
-    labels = mined.select("package_name", F.col("is_spam").cast("long").alias("is_spam"))
+    labels = mined.select("package_name", F.col("is_spam").cast("long").alias("is_spam")).distinct()
     try:
         labels = not_listed(labels, "package_name", read_labels(spark, path), "package_name")
-    except Exception as error:  # the first append creates the table
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        # The first append creates the table.
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     labels.write.mode("append").parquet(path)
 
@@ -34,10 +36,21 @@ def write_names(names: DataFrame, path: str) -> None:
     ).text(path)
 
 
+def iso_moment(name: str, zoned: bool) -> Column:
+    """Full ISO form: microseconds if there are any, and the UTC offset of an instant."""
+    value = F.col(name)
+    micros = F.date_format(value, "SSSSSS")
+    return F.concat(
+        F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
+        F.date_format(value, "xxx") if zoned else F.lit(""),
+    )
+
+
 def json_record(rows: DataFrame) -> Column:
-    """Each row as JSON text, moments in ISO form and missing values as null."""
+    """Each row as JSON text, moments in full ISO form and missing values as null."""
     fields = [
-        F.date_format(field.name, "yyyy-MM-dd'T'HH:mm:ss").alias(field.name)
+        iso_moment(field.name, isinstance(field.dataType, TimestampType)).alias(field.name)
         if isinstance(field.dataType, TimestampType | TimestampNTZType)
         else F.col(field.name)
         for field in rows.schema.fields
