@@ -1,18 +1,25 @@
 """Queries over scores and models."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from siftward.functions.risk import risk_tier, verdict
 from siftward.functions.text import text_features
 from siftward.functions.distance import name_distance_features
 from siftward.models.encode import learn_categories, one_hot_columns, standardised
-from siftward.models.evaluate import classification_report, roc_auc, roc_points
+from siftward.models.evaluate import accuracy, classification_report, recall, roc_auc, roc_points
 from siftward.models.split import stratified_split
 from siftward.models.train import (
+    MEASURES,
+    SEARCHES,
+    VOTERS,
+    Budget,
     Settings,
     compare_models,
     ensemble_scores,
     feature_importances,
+    spam_probability,
     split_features,
     train_ensemble,
 )
@@ -39,6 +46,14 @@ def scored(t):
     return t.spark.sql(SCORED, labels=t.labels, documents=t.documents)
 
 
+# A missing score counts as 0.
+ORACLE_FILLED = f"(SELECT doc_id, label, coalesce(score, 0) AS score FROM {ORACLE_SCORED})"
+
+
+def filled(t):
+    return scored(t).fillna(0.0, ["score"])
+
+
 @query(
     "risk_tier",
     f"""SELECT doc_id, score, CASE WHEN score IS NULL THEN 'Unknown' WHEN score < 0.2 THEN 'Low'
@@ -54,7 +69,7 @@ def _(t):
 
 ROC = f"""SELECT score AS threshold, count(*) FILTER (label = 1) AS n_pos,
       count(*) FILTER (label = 0) AS n_neg
-    FROM {ORACLE_SCORED} WHERE score IS NOT NULL GROUP BY score"""
+    FROM {ORACLE_FILLED} GROUP BY score"""
 
 
 @query(
@@ -64,7 +79,7 @@ ROC = f"""SELECT score AS threshold, count(*) FILTER (label = 1) AS n_pos,
         CAST(sum(n_neg) OVER (ORDER BY threshold DESC) AS BIGINT) AS false_pos FROM ({ROC}))""",
 )
 def _(t):
-    return roc_points(scored(t).filter("score is not null"))
+    return roc_points(filled(t))
 
 
 @query(
@@ -75,15 +90,12 @@ def _(t):
     FROM ({ROC}) p CROSS JOIN ({ROC}) n""",
 )
 def _(t):
-    return roc_auc(roc_points(scored(t).filter("score is not null"))).select(
-        F.round("auc", 9).alias("auc")
-    )
+    return roc_auc(roc_points(filled(t))).select(F.round("auc", 9).alias("auc"))
 
 
 @query(
     "class_report",
-    f"""WITH rows AS (SELECT label, CAST(score > 0.5 AS BIGINT) AS said FROM {ORACLE_SCORED}
-        WHERE score IS NOT NULL),
+    f"""WITH rows AS (SELECT label, CAST(score > 0.5 AS BIGINT) AS said FROM {ORACLE_FILLED}),
     counts AS (SELECT c AS class, count(*) FILTER (label = c AND said = c) AS hits,
         count(*) FILTER (said = c) AS claimed, count(*) FILTER (label = c) AS support
         FROM rows, (SELECT unnest([0, 1]) AS c) GROUP BY c),
@@ -99,13 +111,23 @@ def _(t):
     FROM report""",
 )
 def _(t):
-    rows = scored(t).filter("score is not null").withColumn(
-        "prediction", (F.col("score") > 0.5).cast("long")
-    )
+    rows = filled(t).withColumn("prediction", (F.col("score") > 0.5).cast("long"))
     report = classification_report(rows)
     return report.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
+@query(
+    "accuracy",
+    f"""SELECT round(avg(CAST(label = CAST(score > 0.5 AS BIGINT) AS DOUBLE)), 9) AS accuracy,
+      round(coalesce(count(*) FILTER (label = 1 AND score > 0.5)
+        / nullif(count(*) FILTER (label = 1), 0), 0), 9) AS recall
+    FROM {ORACLE_FILLED}""",
+)
+def _(t):
+    rows = filled(t).withColumn("prediction", (F.col("score") > 0.5).cast("long"))
+    return rows.agg(F.round(accuracy(), 9).alias("accuracy"), F.round(recall(), 9).alias("recall"))
+
+
 @query(
     "stratified_split",
     """SELECT doc_id, toxic AS is_spam, row_number() OVER (PARTITION BY toxic
@@ -118,8 +140,8 @@ def _(t):
 
 
 def training_rows(t):
-    """Finished rows made of the labelled documents."""
-    shape = text_features(F.substring("text", 1, 60), "text")
+    """A few features of the labelled documents."""
+    shape = text_features(F.split_part("text", F.lit("\n"), F.lit(1)), "text")
     return t.documents.join(t.labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("pkg_name"),
         "lang",
@@ -205,47 +227,168 @@ def _(t):
     return rows.select(F.col("name").alias("package"), json_record(rows).alias("raw_data"))
 
 
-# --- models: fitted ones have no SQL twin ----------------------------------
+@query(
+    "event_json",
+    """SELECT event_id, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+      || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END
+      || '"}' AS record FROM events""",
+)
+def _(t):
+    rows = t.events.select("event_id", "ts")
+    return rows.select("event_id", json_record(rows).alias("record"))
+
+
+# --- models ------------------------------------------------------------------
+# Solvers differ, so no oracle states a score. What it states is which rows are judged and that what is
+# said of them holds together; a feature that gives the label away has a known answer.
+
+TEST_ROWS = """SELECT package_name AS pkg_name, CAST(is_spam AS DOUBLE) AS label FROM (
+      SELECT *, row_number() OVER (PARTITION BY is_spam ORDER BY md5('42:' || package_name), package_name)
+        <= round(0.2 * count(*) OVER (PARTITION BY is_spam)) AS is_test FROM ground_truth) WHERE is_test"""
+
+
+def finished_rows(t):
+    """Finished feature rows of the labelled packages, with their text models and raw rows."""
+    raw = cut_lineage(
+        feature_table(t.dist, t.downloads, t.ground_truth, DOWNLOADS_AS_OF, ORDER, "all")
+    )
+    texts = TextModels.fit(raw)
+    return cut_lineage(enrich(raw, texts, distance=texts.own_distance())), texts, raw
 
 
-@query("train_score")
+@query(
+    "train_score",
+    f"SELECT pkg_name, label, TRUE AS is_mean, TRUE AS is_said, TRUE AS is_tier FROM ({TEST_ROWS})",
+    ("ground_truth",),
+)
 def _(t):
-    train, test = split_features(training_rows(t))
+    train, test = split_features(finished_rows(t)[0])
     scores = ensemble_scores(train_ensemble(train), test)
-    return scores.select("pkg_name", "label", "prediction_score", "prediction")
+    mean = sum((spam_probability(v) for v in VOTERS), F.lit(0.0)) / len(VOTERS)
+    score = F.col("prediction_score")
+    low = F.when(score < 0.2, "Low").when(score < 0.5, "Moderate").when(score < 0.8, "High")
+    return scores.select(
+        "pkg_name",
+        "label",
+        ((F.abs(score - mean) < 1e-9) & score.between(0, 1)).alias("is_mean"),
+        (F.col("prediction") == (score > 0.5).cast("double")).alias("is_said"),
+        (risk_tier("prediction_score") == low.otherwise("Critical")).alias("is_tier"),
+    )
 
 
-@query("train_report")
+@query(
+    "train_report",
+    f"""WITH rows AS ({TEST_ROWS})
+    SELECT class, support, TRUE AS holds FROM (
+      SELECT CAST(CAST(label AS BIGINT) AS VARCHAR) AS class, count(*) AS support FROM rows GROUP BY label
+      UNION ALL SELECT unnest(['macro avg', 'weighted avg']), count(*) FROM rows)""",
+    ("ground_truth",),
+)
 def _(t):
-    train, test = split_features(training_rows(t))
-    settings = Settings(forest_trees=50)
-    return classification_report(ensemble_scores(train_ensemble(train, settings), test))
+    train, test = split_features(finished_rows(t)[0])
+    judged = cut_lineage(
+        ensemble_scores(train_ensemble(train), test).select("label", "prediction")
+    )
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    share = judged.select(right).scalar()
+    report = classification_report(judged)
+    # The weighted recall is the accuracy.
+    holds = F.when(F.col("class") == "weighted avg", F.abs(F.col("recall") - share) < 1e-9)
+    fair = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return report.select("class", "support", (holds.otherwise(True) & fair).alias("holds"))
 
 
-@query("model_comparison")
+@query(
+    "known_answer",
+    """SELECT doc_id, CAST(toxic AS DOUBLE) AS label, CAST(toxic AS DOUBLE) AS decision_tree,
+      CAST(toxic AS DOUBLE) AS log_reg, CAST(toxic AS DOUBLE) AS random_forest, CAST(toxic AS DOUBLE) AS svm,
+      CAST(toxic AS DOUBLE) AS boosting, CAST(toxic AS DOUBLE) AS vote
+    FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id), CAST(doc_id AS VARCHAR))
+      <= round(0.2 * count(*) OVER (PARTITION BY toxic)) AS is_test FROM labels) WHERE is_test""",
+)
+def _(t):
+    rows = training_rows(t).withColumn("tells", F.col("is_spam") * 10 - 5)
+    train, test = split_features(rows.select("pkg_name", "lang", "n_desc_len", "tells", "is_spam"))
+    voters = (*VOTERS, "boosting")
+    said = ensemble_scores(train_ensemble(train, Settings(voters=voters)), test, voters)
+    return said.select(
+        F.col("pkg_name").cast("long").alias("doc_id"),
+        "label",
+        *(F.col(f"{v}_prediction").alias(v) for v in voters),
+        F.col("prediction").alias("vote"),
+    )
+
+
+@query(
+    "model_comparison",
+    """SELECT unnest(['decision_tree', 'log_reg', 'random_forest', 'svm', 'boosting']) AS model, TRUE AS in_bounds""",
+)
+def _(t):
+    train, test = split_features(finished_rows(t)[0])
+    table = compare_models(train, test)
+    inside = [F.col(m).between(0, 1) for m in MEASURES]
+    return table.select("model", reduce(lambda a, b: a & b, inside).alias("in_bounds"))
+
+
+# The searches with the smallest budget that still chooses; the full one is thousands of fits.
+SEARCH = Budget(
+    tree_gains=(0.0, 0.01), tree_folds=2, forest_widths=(2, 4), forest_trees=20, forest_folds=2,
+    boosting_draws=2, boosting_rounds=(5, 10), boosting_folds=2,
+)
+
+
+@query(
+    "tuned_comparison",
+    """SELECT unnest(['decision_tree', 'random_forest', 'boosting']) AS model, TRUE AS in_bounds""",
+)
 def _(t):
     train, test = split_features(training_rows(t))
-    return compare_models(train, test, settings=Settings(forest_trees=50, boosting_rounds=20))
+    table = compare_models(train, test, tuple(SEARCHES), budget=SEARCH)
+    inside = [F.col(m).between(0, 1) for m in MEASURES]
+    return table.select("model", reduce(lambda a, b: a & b, inside).alias("in_bounds"))
 
 
-@query("importances")
+@query("importances", "SELECT 15 AS n_features, 15 AS n_named, TRUE AS in_order, TRUE AS sums_to_one")
 def _(t):
-    train, _ = split_features(training_rows(t))
-    return feature_importances(train)
+    train, _ = split_features(finished_rows(t)[0])
+    top = feature_importances(train)
+    every = feature_importances(train, top=100_000)
+    known = set(train.columns)
+    categories = [c for c, kind in train.dtypes if kind == "string"]
+    named = F.col("feature").isin(*known)
+    for c in categories:
+        named = named | F.col("feature").startswith(f"{c}_")
+    total = every.select(F.sum("importance")).scalar()
+    shares = F.transform(F.array_sort(F.collect_list("importance")), lambda x: x)
+    return top.agg(
+        F.count("*").cast("int").alias("n_features"),
+        F.count_if(named).cast("int").alias("n_named"),
+        (F.element_at(shares, 1) >= 0).alias("in_order"),
+        (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+    )
 
 
-@query("scan_packages")
+@query(
+    "scan_packages",
+    """SELECT name AS package, TRUE AS is_score, TRUE AS is_tier, TRUE AS is_verdict, name AS raw_name, name AS feature_name,
+      requires AS raw_requires FROM (SELECT n.name, coalesce(len(n.requires_dist), 0) AS requires FROM newest n
+        WHERE n.name NOT IN (SELECT package_name FROM ground_truth))""",
+    ("newest", "ground_truth"),
+)
 def _(t):
-    raw = cut_lineage(feature_table(t.dist, t.downloads, t.ground_truth, DOWNLOADS_AS_OF, ORDER))
-    texts = TextModels.fit(raw)
-    finished = cut_lineage(enrich(raw, texts, distance=texts.own_distance()))
+    finished, texts, raw = finished_rows(t)
     train, _ = split_features(finished)
-    model = train_ensemble(train, Settings(forest_trees=50))
-    unlabelled = (
-        t.part_names.join(t.labels, F.col("doc_id") == F.col("p_partkey"), "left_anti")
-        .select("name")
-        .distinct()
+    model = train_ensemble(train)
+    records = scan_packages(
+        t.dist, t.downloads, t.unlabelled_names, DOWNLOADS_AS_OF, texts, model, ORDER, owners=raw
     )
-    return scan_packages(
-        t.dist, t.downloads, unlabelled, DOWNLOADS_AS_OF, texts, model, ORDER, owners=raw
+    said = F.col("prediction")
+    return records.select(
+        "package",
+        said.between(0, 1).alias("is_score"),
+        (F.col("risk_tier") == risk_tier("prediction")).alias("is_tier"),
+        (F.col("verdict") == F.when(said > config.VERDICT_THRESHOLD, "DANGEROUS").otherwise("SAFE")).alias("is_verdict"),
+        F.get_json_object("raw_data", "$.pkg_name").alias("raw_name"),
+        F.get_json_object("features", "$.pkg_name").alias("feature_name"),
+        F.get_json_object("raw_data", "$.n_requires").cast("long").alias("raw_requires"),
     )
