@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftward import config
-from siftward.models.train import Settings, split_features, train_ensemble
+from siftward.models.train import Settings, ensemble_scores, split_features, train_ensemble
 from siftward.operators import scope as scoping
 from siftward.plans.features import (
     feature_row,
@@ -25,7 +25,15 @@ from siftward.plans.offline import (
     finish_features,
     run_features,
 )
-from siftward.plans.scan import download_rows, numeric_values, offline_values, scan_packages
+from siftward.plans.scan import (
+    download_rows,
+    numeric_values,
+    offline_values,
+    scan_features,
+    scan_packages,
+)
+from siftward.plans.training import train_and_save
+from siftward.session import cut_lineage
 from siftward.sources.schemas import DISTRIBUTION_METADATA
 from siftward.sources.writers import write_features
 
@@ -212,6 +220,53 @@ def test_scan(dist, downloads, raw, spark):
     assert json.loads(row["features"])["n_versions"] == 2
 
 
+def test_owners_of_packages_outside_the_known_ones(dist, downloads, raw, spark):
+    """A scanned package gets its owners' counts, alone and among others."""
+    known = raw.filter("pkg_name <> 'good'")
+    texts = TextModels.fit(known)
+    every = {r["pkg_name"]: r for r in enrich(raw, texts).collect()}
+    counts = ("n_pkgs_by_maintainers_30d", "n_low_download_pkgs_by_maintainers", "n_dependents_est")
+
+    def scanned(*names):
+        frame = spark.createDataFrame([(n,) for n in names], "name string")
+        _, finished = scan_features(dist, downloads, frame, AS_OF, texts, owners=known)
+        return {r["pkg_name"]: tuple(r[c] for c in counts) for r in finished.collect()}
+
+    alone = scanned("good")["good"]
+    assert alone[:2] == tuple(every["good"][c] for c in counts[:2]) and alone[1] > 0
+    others = [r["pkg_name"] for r in raw.select("pkg_name").collect() if r["pkg_name"] != "good"]
+    assert scanned("good", *others)["good"] == alone
+
+
+def test_odd_labels_and_missing_features(raw, spark):
+    """Averaged labels count as their whole part; rows without a label are left out; nulls can be scored."""
+    texts = TextModels.fit(raw)
+    finished = cut_lineage(enrich(raw, texts, distance=texts.own_distance()))
+    rows = finished
+    for k, label in enumerate((0.0, 1.0, 0.5, None)):
+        copy = finished.withColumn("pkg_name", F.concat("pkg_name", F.lit(f"-{k}")))
+        rows = rows.unionByName(copy.withColumn("is_spam", F.lit(label).cast("double")))
+    rows = rows.withColumn("n_distributions", F.lit(None).cast("long"))
+    train, test = split_features(rows)
+    both = train.unionByName(test)
+    assert both.filter("label not in (0.0, 1.0)").count() == 0 and both.filter("pkg_name like '%-3'").count() == 0
+    assert both.filter("pkg_name like '%-2' and label = 0").count() == finished.count()
+    model = train_ensemble(train, Settings(forest_trees=3, max_iterations=10))
+    scores = ensemble_scores(model, test).select("prediction_score").collect()
+    assert scores and all(0 <= r[0] <= 1 for r in scores)
+
+
+def test_training_is_kept(raw, spark, tmp_path):
+    finished = finish_features(raw)
+    wide = finished
+    for k in range(4):
+        wide = wide.unionByName(finished.withColumn("pkg_name", F.concat("pkg_name", F.lit(str(k)))))
+    wide = wide.withColumn("is_spam", F.when(F.col("pkg_name").contains("1"), 1).otherwise(0))
+    report = train_and_save(wide, str(tmp_path), AS_OF, Settings(forest_trees=3, max_iterations=10))
+    assert {r["class"] for r in report.collect()} >= {"macro avg", "weighted avg"}
+    assert (tmp_path / "latest").is_dir() and (tmp_path / f"{AS_OF:%Y%m%d_%H%M%S}").is_dir()
+
+
 def test_values_in_long_form(raw):
     finished = finish_features(raw)
     values = offline_values(finished)

@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
@@ -129,7 +130,28 @@ def test_json_record(spark):
         "name string, t timestamp, l array<string>, d double",
     )
     text = frame.select(json_record(frame)).first()[0]
-    assert json.loads(text) == {"name": "a", "t": "2024-01-02T03:04:05", "l": ["x"], "d": None}
+    assert json.loads(text) == {"name": "a", "t": "2024-01-02T03:04:05+00:00", "l": ["x"], "d": None}
+    plain = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 03:04:05.000120' AS a, TIMESTAMP '2024-01-02 03:04:05.5' AS b")
+    assert json.loads(plain.select(json_record(plain)).first()[0]) == {
+        "a": "2024-01-02T03:04:05.000120", "b": "2024-01-02T03:04:05.500000+00:00",
+    }
+
+
+def test_broken_files_are_errors(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text('{"pkg_name": "a"}\n{"pkg_name": \n')
+    (tmp_path / "names.json").write_text('{"a": 1, ')
+    for read in (read_features, read_finished_features):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read(spark, str(tmp_path / "rows.jsonl")).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_manifests(spark, str(tmp_path / "names.json")).collect()
+
+
+def test_appending_repeats_and_unknown_errors(spark, tmp_path):
+    mined = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0)], "package_name string, is_spam int")
+    for _ in range(2):
+        append_labels(mined, str(tmp_path / "labels"))
+    assert sorted(tuple(r) for r in read_labels(spark, str(tmp_path / "labels")).collect()) == [("a", 1), ("b", 0)]
 
 
 def test_save_stages(spark, tmp_path):
