@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
 }
 
 
+_cleared: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the SQL options the jobs rely on; cluster sizing stays untouched."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -23,16 +26,28 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; where none is set, one in its warehouse.
 
-    Both are storage that all machines of a cluster share, never a machine's own disk.
+    Both are storage that all machines of a cluster share, never a machine's own disk. A session has a
+    folder of its own in it.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/siftward_stored"
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/siftward_stored"
+        context.setCheckpointDir(folder)
+    folder = context.getCheckpointDir()
+    _clear_at_end(spark, f"{folder}/siftward")
+    return folder
+
+
+def _clear_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the session's stored tables deleted when the application ends."""
+    if folder not in _cleared:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _cleared.add(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
