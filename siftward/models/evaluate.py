@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftward.operators.skew import running_totals
+from siftward.session import cut_lineage
 
 
 def accuracy(label: str = "label", prediction: str = "prediction") -> Column:
@@ -72,6 +73,7 @@ def roc_points(rows: DataFrame, label: str = "label", score: str = "score") -> D
     points = rows.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(positive).alias("n_pos"), F.count_if(~positive).alias("n_neg")
     )
+    points = cut_lineage(points)
     totals = running_totals(points, "threshold", {"n_pos": "true_pos", "n_neg": "false_pos"})
     everything = points.select(
         F.struct(F.sum("n_pos").alias("pos"), F.sum("n_neg").alias("neg"))

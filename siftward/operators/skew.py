@@ -51,14 +51,15 @@ def lookup_join(
 
 
 def running_totals(
-    points: DataFrame, order: str, totals: dict[str, str], buckets: int = 256
+    points: DataFrame, order: str, totals: dict[str, str], range_rows: int = 100_000
 ) -> DataFrame:
     """Running sums over all rows, from the highest ``order`` down.
 
-    ``points`` has one row per value of ``order``. Quantiles of those values
-    cut them into even ranges: each range sums by itself and then adds what
-    lies above it, so no task ever sees the whole order.
+    ``points`` has one row per value of ``order`` and is read several times, so it should be stored. Quantiles
+    of those values cut them into even ranges of about ``range_rows``: each range sums by itself
+    and then adds what lies above it, so no task ever sees the whole order.
     """
+    buckets = points.count() // range_rows + 16
     marks = [i / buckets for i in range(1, buckets)]
     edges = points.select(F.percentile_approx(order, marks, 10 * buckets)).scalar()
     bounded = points.withColumn("_edges", edges)
