@@ -21,11 +21,12 @@ BLANKS = (b"  ", b"\n ", b"\t ", b"\r ", b"\v ", b"\f ")
 WIDE_BLANK = re.compile(
     rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80) "
 )
+STOPS = b".,!?;:"
 CHUNK = 1 << 20
 ENCODE_BYTES = 256 << 10
 CACHE_PIECES, CACHE_BYTES = 1_200_000, 24 << 20
 
-_loaded: dict[int, object] = {}
+_loaded: dict[tuple, object] = {}
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -34,23 +35,31 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def tokenizer(source):
-    """The tokenizer of a broadcast file, built once for each worker process."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def for_worker(source, kind: type, *arguments):
+    """``kind`` of the tokenizer of a broadcast file, one for each worker process.
 
+    Workers run one task after another, which thus share what earlier ones have encoded.
+    """
     text = source.value
-    key = hash(text)
+    key = (hash(text), kind, arguments)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Tokenizer.from_str(text)
-        _loaded[key].no_truncation()
-        _loaded[key].no_padding()
+        _loaded[key] = kind(tokenizer(text), *arguments)
     return _loaded[key]
 
 
+def tokenizer(definition: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_str(definition)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
 def splits_at_blanks(definition: str) -> bool:
     """Whether the tokenizer of this JSON cuts at white space before it merges.
 
@@ -80,6 +89,31 @@ def drops_blanks(definition: str) -> bool:
     )
 
 
+def word_end(definition: str) -> str | None:
+    """What marks the last token of a word in the vocabulary."""
+    return (json.loads(definition).get("model") or {}).get("end_of_word_suffix") or None
+
+
+def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the stops after it, in pieces whose tokens are those of the word.
+
+    For tokenizers of lower case that part letters and digits from other characters. Stops are cut off an ASCII letter or
+    digit only, and only plain ASCII words are lowered, so that marker strings keep their case.
+    """
+    stem = word.rstrip(STOPS)
+    if not stem or stem == word or not stem[-1:].isalnum():
+        stem = word
+    return stem.lower() if stem.isalpha() else stem, word[len(stem) :]
+
+
+def is_one_word(piece: bytes) -> bool:
+    """Whether a piece has nothing but letters, of scripts whose lower case is one letter each."""
+    if piece.isalpha():
+        return True
+    text = piece.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
 def chunks(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
     """A text in parts that begin at a blank; for texts where each blank is a safe boundary."""
     start = 0
@@ -99,8 +133,10 @@ def safe_blanks(text: bytes) -> bool:
 class Cache:
     """Values of pieces, computed in batches of even bytes, within bounds of number and size."""
 
-    def __init__(self, values: Callable[[list[bytes]], Iterable], batch_bytes: int = ENCODE_BYTES):
-        self.values, self.batch_bytes = values, batch_bytes
+    def __init__(
+        self, values: Callable[[list[bytes]], Iterable], pieces: int = CACHE_PIECES, batch_bytes: int = ENCODE_BYTES
+    ):
+        self.values, self.pieces, self.batch_bytes = values, pieces, batch_bytes
         self.known: dict[bytes, object] = {}
         self.bytes = 0
 
@@ -108,7 +144,7 @@ class Cache:
         """A mapping with all needed pieces."""
         missing = needed.difference(self.known)
         more = sum(map(len, missing))
-        if len(self.known) + len(missing) > CACHE_PIECES or self.bytes + more > CACHE_BYTES:
+        if len(self.known) + len(missing) > self.pieces or self.bytes + more > CACHE_BYTES:
             # Frequent pieces are among those needed now, and stay.
             self.known = {p: self.known[p] for p in needed.difference(missing)}
             self.bytes = sum(map(len, self.known))

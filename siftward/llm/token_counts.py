@@ -20,9 +20,9 @@ from siftward.llm.encoding import (
     PIECE,
     Cache,
     chunks,
+    for_worker,
     safe_blanks,
     splits_at_blanks,
-    tokenizer,
     vocabulary,
 )
 
@@ -86,7 +86,7 @@ def token_count(spark: SparkSession, text: str | Column, path: str) -> Column:
 
     @F.arrow_udf("long")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Lengths(tokenizer(source), split)
+        counter = for_worker(source, Lengths, split)
         for batch in batches:
             counts: list[int] = []
             for part in byte_slices(batch):

@@ -25,7 +25,17 @@ from pyspark.sql.window import Window
 
 from siftward.llm.common import byte_slices, cut_lineage, file_system, new_folder, raw, table, texts
 from siftward.llm.elias_fano import EliasFano
-from siftward.llm.encoding import CHUNK, Cache, chunks, drops_blanks, tokenizer, vocabulary
+from siftward.llm.encoding import (
+    CHUNK,
+    Cache,
+    chunks,
+    drops_blanks,
+    for_worker,
+    is_one_word,
+    stem_and_tail,
+    vocabulary,
+    word_end,
+)
 
 END_ID = 2
 MAGIC = b"SWIDS\x00\x01\x00"
@@ -36,19 +46,56 @@ TRAILER = struct.Struct("<8sBQQQQ")
 SHARD_BYTES = 256 << 20
 
 
+#: Words and stems kept in a worker's memory, and words of a line.
+WORDS, STEMS, LINE = 500_000, 1_500_000, 64
+
+
 class Encoder:
-    """Ids of whole texts as bytes; words are encoded once each where white space leaves no token."""
+    """Ids of whole texts as bytes; words are encoded once each where white space leaves no token.
+
+    Words are looked up as they stand, and where new as stem and stops, so that case and stops cost no further
+    encoding. New plain words go to the tokenizer in lines, which are cut at the tokens that end a word.
+    """
 
-    def __init__(self, encoder, split: bool):
+    def __init__(self, encoder, split: bool, end: str | None = None):
         self.encoder, self.split = encoder, split
-        self.kind = np.dtype("<u2" if encoder.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words = Cache(self.encoded)
+        size = encoder.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = None
+        if split and end:
+            self.ends = np.zeros(size, bool)
+            self.ends[[k for token, k in encoder.get_vocab().items() if token.endswith(end)]] = True
+        self.words = Cache(self.joined, WORDS)
+        self.stems = Cache(self.of_stems, STEMS)
 
     def encoded(self, pieces: list[bytes]) -> list[bytes]:
         batch = [p.decode("utf-8", "replace") for p in pieces]
         found = self.encoder.encode_batch_fast(batch, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def joined(self, words: list[bytes]) -> list[bytes]:
+        parts = [stem_and_tail(w) for w in words]
+        known = self.stems.of({x for part in parts for x in part})
+        return [known[stem] + known[tail] for stem, tail in parts]
+
+    def of_stems(self, pieces: list[bytes]) -> list[bytes]:
+        if self.ends is None:
+            return self.encoded(pieces)
+        out: dict[bytes, bytes] = {}
+        plain = [p for p in pieces if is_one_word(p)]
+        lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
+        texts_ = [b" ".join(x).decode() for x in lines]
+        width = self.kind.itemsize
+        for line, found in zip(lines, self.encoder.encode_batch_fast(texts_, add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(stops) == len(line):
+                data = ids.tobytes()
+                out.update(zip(line, [data[a:b] for a, b in zip([0, *stops], stops)]))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self.encoded(rest)))
+        return [out[p] for p in pieces]
+
     def ids(self, batch: list[bytes]) -> list[bytes]:
         if not self.split:
             return self.encoded(batch)
@@ -161,7 +208,7 @@ def write_shards(
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
     source = vocabulary(spark, path)
-    split = drops_blanks(source.value)
+    split, mark = drops_blanks(source.value), word_end(source.value)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -169,7 +216,7 @@ def write_shards(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer(source), split)
+        encoder = for_worker(source, Encoder, split, mark)
         end = np.array([end_id], encoder.kind).tobytes()
         store, base = file_system(folder)
         store.create_dir(base, recursive=True)

@@ -18,7 +18,7 @@ from siftward.llm.token_store import Encoder, ShardReader, read_digests, store_t
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 PARTS = st.lists(
     st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", " ", " ", "　", "\x85", "᠎", "​", "́",
-                     "it's", "'ll", "a", "Zebra", "9", "12", "!?", "é", "Σ", "ς", "İ", "<|endoftext|>", "<|startoftext|>", "中文", "😀", "_"]),
+                     "it's", "'ll", "a", "Zebra", "9", "12", "!?", "é", "Σ", "ς", "İ", "<|endoftext|>", "<|startoftext|>", "中文", "😀", "_", ".", ",", ";:", "ß", "Ü"]),
     max_size=14,
 ).map("".join)
 
@@ -44,8 +44,15 @@ def test_lengths_of_pieces(byte_level, batch):
 @given(st.lists(PARTS, max_size=4))
 def test_ids_of_words(word_level, batch):
     expected = [x.ids for x in word_level.encode_batch(batch, add_special_tokens=False)]
-    found = Encoder(word_level, True).ids([t.encode() for t in batch])
-    assert [np.frombuffer(x, "<u2").tolist() for x in found] == expected
+    for end in (None, "</w>"):
+        found = Encoder(word_level, True, end).ids([t.encode() for t in batch])
+        assert [np.frombuffer(x, "<u2").tolist() for x in found] == expected
+
+
+def test_lines_of_words(word_level, messy_rows):
+    text = " ".join(r[1] or "" for r in messy_rows) + " Straße Été ÉTÉ İx ŉ ª º ﬁ ͅ Ǆ ĳ word. Word, WORD!? a). x.y. <|ENDOFTEXT|>. <|endoftext|>, é. 9. 1,2: it's. ..."
+    expected = word_level.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(Encoder(word_level, True, "</w>").ids([text.encode()])[0], "<u2").tolist() == expected
 
 
 def test_only_known_tokenizers_are_split():
