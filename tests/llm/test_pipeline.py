@@ -79,7 +79,7 @@ def test_stages_take_odd_and_no_documents(spark, messy, no_docs, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, no_docs, FOLDER).count() == 0
     out = stage(spark, messy, FOLDER)
-    assert out.count() > 20 and (name == "token_ids" or out.columns == messy.columns)
+    assert out.count() > 10 and (name == "token_ids" or out.columns == messy.columns)
 
 
 def test_hot_source_is_levelled(spark):
