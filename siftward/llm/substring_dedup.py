@@ -5,11 +5,13 @@
    documents are found by one shuffle of packed numbers, and go back to the blocks of documents they came from.
 2. Candidates. Blocks (some MB of text, by a hash of the row) mark the windows with such an anchor. Documents
    without any are finished.
-3. Confirmation. 128-bit hashes of the candidate windows, with the least document of the block, are
+3. Confirmation. 96-bit hashes of the candidate windows, with the least document of the block, are
    shuffled; what comes back is one bit each: whether a smaller document in another block has the window.
-4. Automata. Each block compiles the confirmed windows into Aho-Corasick automata over word
-   symbols, in shards of bounded size, and streams its documents through them to locate every
-   occurrence; the words of those that start in a smaller document too are removed.
+4. Automata. Confirmed windows that follow one another under one anchor, and have the same first document, are
+   a passage. Each block compiles its passages into Aho-Corasick automata over word symbols, in
+   shards of bounded size, and streams its documents through them to locate every occurrence; the
+   words of those whose windows start in a smaller document too are removed. Passages end with
+   their anchor, hence copies with different edits have most of them in common.
 
 No step groups by a window or document: the groups are blocks and hash buckets whose number
 grows with the text, and a very common window is one entry for each block.
@@ -30,8 +32,11 @@ from siftward.llm.repeats import WINDOW, places, ranges, window_hashes, window_k
 
 #: Text of a block on average.
 BLOCK_BYTES = 8 << 20
-#: Windows of one automaton; a block has as many automata as it needs.
-SHARD_WINDOWS = 40_000
+#: Words of the passages of one automaton; a block has as many automata as it needs.
+SHARD_WORDS = 200_000
+#: Base of a word's symbol, which has three digits. An automaton tries a node's children one by one, so nodes
+#: must have few.
+BASE = 64
 #: Rows without id rank behind all ids.
 LAST = (1 << 63) - 1
 
@@ -144,31 +149,45 @@ ARROW_PENDING = pa.list_(pa.struct([("doc_id", pa.int64()), ("text", pa.binary()
 ARROW_DONE = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
 
+def bucket_of(first: np.ndarray, n: int) -> np.ndarray:
+    """Buckets that rise with the hash, so that sorted windows lie bucket by bucket."""
+    return ((first >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 class Candidates:
-    """Distinct candidate windows of a block, in an order that depends on the block alone."""
+    """Candidate windows of a block: all occurrences, and the distinct ones in order of hash."""
 
     def __init__(self, pending: list[dict], n: int, window: int):
-        self.words = [p["text"].split() for p in pending]
-        self.ranks = [LAST if p["doc_id"] is None else p["doc_id"] for p in pending]
-        first, second, docs, starts = [], [], [], []
-        for k, (words, p) in enumerate(zip(self.words, pending)):
+        # By rank, so that the first of equal windows is of the least document.
+        rank = [LAST if p["doc_id"] is None else p["doc_id"] for p in pending]
+        order = sorted(range(len(pending)), key=rank.__getitem__)
+        self.pending = [pending[k] for k in order]
+        self.ranks = [rank[k] for k in order]
+        self.words = [p["text"].split() for p in self.pending]
+        first, second, docs, starts, keys = [], [], [], [], []
+        for k, (words, p) in enumerate(zip(self.words, self.pending)):
             at = places(np.array(p["windows"], np.int64))
-            a, b = window_hashes(word_hashes(words), at, window)
+            hashes = word_hashes(words)
+            a, b = window_hashes(hashes, at, window)
             first.append(a)
-            second.append(b)
+            second.append(b >> np.uint64(32))
             docs.append(np.full(len(at), k))
             starts.append(at)
+            keys.append(window_keys(words, hashes, window)[at])
         first, second = np.concatenate(first), np.concatenate(second)
-        docs, starts = np.concatenate(docs), np.concatenate(starts)
-        rank = np.array(self.ranks, np.int64)[docs]
-        bucket = (first % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((rank, second, first, bucket))
-        first, second, rank = first[order], second[order], rank[order]
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        last = np.concatenate([new[1:], [True]])
-        self.first, self.second, self.bucket = first[new], second[new], bucket[order][new]
-        self.least, self.most = rank[new], rank[last]
-        self.doc, self.start = docs[order][new], starts[order][new]
+        self.docs, self.starts, self.keys = np.concatenate(docs), np.concatenate(starts), np.concatenate(keys)
+        order = np.argsort(first, kind="stable")
+        a, b = first[order], second[order]
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+            order = np.lexsort((np.arange(len(first)), second, first))
+            a, b = first[order], second[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.first, self.second = a[new], b[new]
+        self.least = np.array(self.ranks, np.int64)[self.docs[order][new]]
+        self.bucket = bucket_of(self.first, n)
+        #: Number of the distinct window for each occurrence.
+        self.entry = np.empty(len(first), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
 
 
 def block_windows(n: int, window: int):
@@ -183,7 +202,7 @@ def block_windows(n: int, window: int):
                 block = batch.column("block")[at].as_py()
                 c = Candidates(pending, n, window)
                 rows = [
-                    {"bucket": b, "block": block, "first": packed(c.first[s], "<u8"), "second": packed(c.second[s], "<u8"), "least": packed(c.least[s], "<i8")}
+                    {"bucket": b, "block": block, "first": packed(c.first[s], "<u8"), "second": packed(c.second[s], "<u4"), "least": packed(c.least[s], "<i8")}
                     for b, s in bucketed(c.bucket)
                 ]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([
@@ -197,7 +216,8 @@ def earlier_elsewhere(group: pa.Table) -> pa.Table:
     """Group: the windows of a bucket. For each entry of a block whether a smaller document of another has it."""
     parts = {k: group.column(k).to_pylist() for k in ("first", "second", "least")}
     sizes = [len(x) // 8 for x in parts["first"]]
-    first, second = (np.frombuffer(b"".join(parts[k]), "<u8") for k in ("first", "second"))
+    first = np.frombuffer(b"".join(parts["first"]), "<u8")
+    second = np.frombuffer(b"".join(parts["second"]), "<u4")
     least = np.frombuffer(b"".join(parts["least"]), "<i8")
     order = np.lexsort((least, second, first))
     a, b = first[order], second[order]
@@ -213,42 +233,69 @@ def earlier_elsewhere(group: pa.Table) -> pa.Table:
 
 
 def symbol(k: int) -> str:
-    """The k-th character that is no surrogate, from 1."""
-    return chr(k + 1 if k + 1 < 0xD800 else k + 0x801)
+    """Three digits for a number, each place with digits of its own, so that no match begins within a word."""
+    return chr(1 + k // (BASE * BASE)) + chr(1 + BASE + k // BASE % BASE) + chr(1 + 2 * BASE + k % BASE)
 
 
 class Located:
-    """Occurrences of confirmed windows, by automata over word symbols in shards of bounded size."""
+    """Occurrences of confirmed passages, by automata over word symbols in shards of bounded size."""
 
     def __init__(self, c: Candidates, earlier: np.ndarray, window: int):
-        self.c, self.earlier, self.window = c, earlier, window
-        self.confirmed = np.flatnonzero(earlier | (c.most > c.least))
+        self.c, self.window = c, window
+        rank = np.array(c.ranks, np.int64)[c.docs]
+        # First document of each occurrence's window; one below all for windows known from other blocks.
+        owner = np.where(earlier, -LAST - 1, c.least)[c.entry]
+        removed = owner < rank
+        cut = (np.diff(c.docs) != 0) | (np.diff(c.starts) != 1) | (np.diff(removed) != 0)
+        cut |= (c.keys[1:] != c.keys[:-1]) | (owner[1:] != owner[:-1])
+        begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        size = np.diff(np.concatenate([begin, [len(removed)]]))
+        begin, size = begin[removed[begin]], size[removed[begin]]
+        # First and last window fix the words of a passage of up to ``window`` windows.
+        more = -(-size // window)
+        part = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        begin = np.repeat(begin, more) + part * window
+        size = np.minimum(np.repeat(size, more) - part * window, window)
+        seen: dict[tuple[int, int, int], int] = {}
+        ends = c.entry[begin + size - 1]
+        for k, passage in enumerate(zip(c.entry[begin].tolist(), ends.tolist(), size.tolist())):
+            seen.setdefault(passage, k)
+        kept = np.array(list(seen.values()), np.int64)
+        self.doc, self.start = c.docs[begin[kept]].tolist(), c.starts[begin[kept]].tolist()
+        self.length, self.owner = (size[kept] + window - 1).tolist(), owner[begin[kept]].tolist()
+
+    def shards(self) -> Iterator[list[int]]:
+        shard, words = [], 0
+        for k, length in enumerate(self.length):
+            if shard and words + length > SHARD_WORDS:
+                yield shard
+                shard, words = [], 0
+            shard.append(k)
+            words += length
+        if shard:
+            yield shard
 
     def covered(self) -> list[np.ndarray]:
-        """Per document the change of the number of removed windows at each word."""
+        """Per document the change of the number of removed passages at each word."""
         import ahocorasick
 
-        c, window = self.c, self.window
+        c = self.c
         change = [np.zeros(len(w) + 1, np.int32) for w in c.words]
-        for at in range(0, len(self.confirmed), SHARD_WINDOWS):
+        for shard in self.shards():
             number: dict[bytes, str] = {}
             automaton = ahocorasick.Automaton()
-            for entry in self.confirmed[at : at + SHARD_WINDOWS].tolist():
-                start = int(c.start[entry])
-                phrase = c.words[c.doc[entry]][start : start + window]
-                automaton.add_word("".join([number.setdefault(w, symbol(len(number) + 1)) for w in phrase]), entry)
+            for k in shard:
+                phrase = c.words[self.doc[k]][self.start[k] : self.start[k] + self.length[k]]
+                automaton.add_word("".join([number.get(w) or number.setdefault(w, symbol(len(number) + 1)) for w in phrase]), k)
             automaton.make_automaton()
             other = symbol(0)
-            for k, words in enumerate(c.words):
-                rank = c.ranks[k]
-                text = "".join([number.get(w, other) for w in words])
-                found = [
-                    end for end, entry in automaton.iter(text) if self.earlier[entry] or c.least[entry] < rank
-                ]
-                if found:
-                    ends = np.array(found)
-                    np.add.at(change[k], ends - window + 1, 1)
-                    np.add.at(change[k], ends + 1, -1)
+            for doc, words in enumerate(c.words):
+                rank, marks = c.ranks[doc], change[doc]
+                for end, k in automaton.iter("".join([number.get(w, other) for w in words])):
+                    if self.owner[k] < rank:
+                        stop = end // 3 + 1
+                        marks[stop - self.length[k]] += 1
+                        marks[stop] -= 1
         return change
 
 
@@ -266,7 +313,7 @@ def finish(n: int, window: int):
                     count = s.stop - s.start
                     earlier[s] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=count).astype(bool)
                 rows = []
-                for p, words, change in zip(pending, c.words, Located(c, earlier, window).covered()):
+                for p, words, change in zip(c.pending, c.words, Located(c, earlier, window).covered()):
                     removed = np.cumsum(change[:-1]) > 0
                     kept = [w for w, gone in zip(words, removed.tolist()) if not gone]
                     rows.append({"doc_id": p["doc_id"], "n_words": len(words), "n_removed": int(removed.sum()), "kept_sha256": digest(kept), "kept": b" ".join(kept)})

@@ -122,7 +122,7 @@ def deduped(rows):
 
 @pytest.mark.parametrize("block_bytes", [1 << 23, 4000])
 def test_substrings(monkeypatch, messy, messy_rows, block_bytes):
-    monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 50 if block_bytes == 4000 else 40_000)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 150 if block_bytes == 4000 else 200_000)
     rows = substring_dedup.without_repeats(messy, block_bytes=block_bytes).drop("kept").collect()
     assert sorted((tuple(r) for r in rows), key=repr) == deduped(messy_rows)
 
