@@ -38,7 +38,7 @@ def learn_categories(
     ).select("pair.*")
     found = pairs.filter("v is not null").distinct().limit(limit * len(texts) + 1).collect()
     if len(found) > limit * len(texts):
-        raise ValueError(f"more than {limit} categories in a column of {list(texts)}")
+        raise ValueError(f"more than {limit} categories on average in the columns {list(texts)}")
     return {c: sorted(row["v"] for row in found if row["c"] == c) for c in texts}
 
 
