@@ -37,6 +37,8 @@ PAIRED_LIST = 32
 #: Keys of long lists up to this number are broadcast (16 bytes each), beyond it joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 CHUNK_SHINGLES = 1 << 16
+#: Fingerprints of a task that makes 70 postings, or 2081 near values, of each.
+POSTED_ROWS, CROWDED_ROWS = 20_000, 500
 
 
 class Fingerprints:
@@ -115,11 +117,16 @@ def near_values(prints: DataFrame, bits: int) -> DataFrame:
     return prints.select("fp", flip.alias("value"))
 
 
+def spread(prints: DataFrame, rows: int) -> DataFrame:
+    """Fingerprints in tasks of about so many: a few MB of them would be a task or two, whatever they become."""
+    return prints.repartition(prints.count() // rows + 1, "fp")
+
+
 def links(prints: DataFrame, most_bits: int = MOST_BITS, paired: int = PAIRED_LIST) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints ``fp`` as all pairs within ``most_bits`` bits would."""
     if most_bits != 4:
         raise ValueError("lists of long groups are built for 4 differing bits")
-    posted = postings(prints, BYTES - most_bits)
+    posted = postings(spread(prints, POSTED_ROWS), BYTES - most_bits)
     counted = posted.groupBy("c", "bytes").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
     )
@@ -136,7 +143,7 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, paired: int = PAIRED_LI
     # A row meets at most ``paired`` others.
     pairs = verified(left.join(right, ["c", "bytes"]).where("a < b").select("a", "b"), most_bits)
     crowded = members.where(F.col("n") > paired).select("fp").distinct()
-    values = near_values(cut_lineage(crowded), most_bits // 2)
+    values = near_values(spread(cut_lineage(crowded), CROWDED_ROWS), most_bits // 2)
     least = values.groupBy("value").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starred = values.join(cut_lineage(least.select("value", "m")), "value").where("fp <> m")
     return twos.union(pairs).union(starred.select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct())
