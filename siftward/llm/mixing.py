@@ -178,7 +178,8 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     Rows are found by their id: those of one id, or without one, are taken together, in every epoch that takes any.
     """
     taken = cut_lineage(mixed(docs, mix).select("doc_id", "epoch").distinct())
-    found = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]))
+    # As many rows as documents: always by shuffle, also while they are few enough to be broadcast.
+    found = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["doc_id"]))
     return found.select(*[docs[c] for c in docs.columns])
 
 
