@@ -60,6 +60,22 @@ def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW)
     return first, second
 
 
+class Words:
+    """Words of several texts as one sequence, so that numbers are worked out for all at once."""
+
+    def __init__(self, texts: list[bytes], window: int = WINDOW):
+        self.parts = [text.split() for text in texts]
+        self.words = [w for part in self.parts for w in part]
+        sizes = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.hashes = word_hashes(self.words)
+        self.keys = window_keys(self.words, self.hashes, window)
+        # Text of each window; those that go on into the next text are no windows.
+        self.text = np.repeat(np.arange(len(sizes)), sizes)[: len(self.keys)]
+        self.whole = np.arange(len(self.keys)) + window <= self.ends[self.text]
+
+
 def ranges(marked: np.ndarray) -> np.ndarray:
     """Runs of true values as start, stop, start, stop ..."""
     return np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8)))

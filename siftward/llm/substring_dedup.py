@@ -7,11 +7,11 @@
    without any are finished.
 3. Confirmation. 96-bit hashes of the candidate windows, with the least document of the block, are
    shuffled; what comes back is one bit each: whether a smaller document in another block has the window.
-4. Automata. Confirmed windows that follow one another under one anchor, and have the same first document, are
-   a passage. Each block compiles its passages into Aho-Corasick automata over word symbols, in
+4. Automata. Confirmed windows that follow one another and have the same first document are a passage,
+   which ends where the content says so (at one anchor in four). Each block compiles its passages into Aho-Corasick automata over word symbols, in
    shards of bounded size, and streams its documents through them to locate every occurrence; the
-   words of those whose windows start in a smaller document too are removed. Passages end with
-   their anchor, hence copies with different edits have most of them in common.
+   words of those whose windows start in a smaller document too are removed. As content ends
+   passages, copies with different edits have most of them in common.
 
 No step groups by a window or document: the groups are blocks and hash buckets whose number
 grows with the text, and a very common window is one entry for each block.
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftward.llm.common import byte_slices, cut_lineage, raw, table, texts
-from siftward.llm.repeats import WINDOW, places, ranges, window_hashes, window_keys, word_hashes
+from siftward.llm.repeats import WINDOW, Words, places, ranges, window_hashes
 
 #: Text of a block on average.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Words of the passages of one automaton; a block has as many automata as it needs.
 SHARD_WORDS = 200_000
-#: Base of a word's symbol, which has three digits. An automaton tries a node's children one by one, so nodes
+#: One anchor in so many ends a passage.
+CONTENT_CUT = 4
+#: Base of a word's symbol, which has three digits or more. An automaton tries a node's children one by one, so nodes
 #: must have few.
 BASE = 64
 #: Rows without id rank behind all ids.
@@ -69,16 +71,17 @@ def block_anchors(n: int, window: int):
             for part in byte_slices(batch.column("text")):
                 blocks = batch.column("block").slice(start, len(part)).to_pylist()
                 start += len(part)
-                keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for k, text in enumerate(texts(part)):
-                    words = text.split()
-                    own = np.unique(window_keys(words, word_hashes(words), window))
-                    keys.append(own)
-                    owners.append(np.full(len(own), k))
-                key, owner = np.concatenate(keys), np.concatenate(owners)
+                all_ = Words(texts(part), window)
+                key, owner = all_.keys[all_.whole], all_.text[all_.whole]
+                # Neighbours mostly share their anchor.
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]
+                key, owner = key[new], owner[new]
                 block = np.array(blocks, np.int64)[owner]
-                order = np.lexsort((block, key))
-                key, block = key[order], block[order]
+                order = np.lexsort((owner, block, key))
+                key, block, owner = key[order], block[order], owner[order]
+                again = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
+                new = np.concatenate([[True], ~again])[: len(key)]
+                key, block = key[new], block[new]
                 # Of equal entries, which are of several documents of a block, two are enough.
                 same = (key[1:] == key[:-1]) & (block[1:] == block[:-1])
                 third = np.concatenate([[False, False], same[1:] & same[:-1]])[: len(key)]
@@ -126,15 +129,19 @@ def split_block(window: int):
         names = docs.column("doc_id").to_pylist()
         start = 0
         for part in byte_slices(docs.column("text").combine_chunks()):
-            for doc, text in zip(names[start : start + len(part)], texts(part)):
-                words = text.split()
-                marked = np.zeros(0, bool)
-                if len(shared) and len(words) >= window:
-                    keys = window_keys(words, word_hashes(words), window)
-                    at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-                    marked = shared[at] == keys
-                if marked.any():
-                    pending.append({"doc_id": doc, "text": b" ".join(words), "windows": ranges(marked).tolist()})
+            all_ = Words(texts(part), window)
+            marked = all_.whole.copy()
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared, all_.keys), len(shared) - 1)
+                marked &= shared[at] == all_.keys
+            else:
+                marked[:] = False
+            found = np.bincount(all_.text[marked], minlength=len(part))
+            bounds = zip(all_.begins.tolist(), all_.ends.tolist())
+            for doc, words, n, (low, high) in zip(names[start : start + len(part)], all_.parts, found.tolist(), bounds):
+                if n:
+                    windows = ranges(marked[low : max(low, high - window + 1)])
+                    pending.append({"doc_id": doc, "text": b" ".join(words), "windows": windows.tolist()})
                 else:
                     done.append({"doc_id": doc, "n_words": len(words), "n_removed": 0, "kept_sha256": digest(words)})
             start += len(part)
@@ -163,19 +170,15 @@ class Candidates:
         order = sorted(range(len(pending)), key=rank.__getitem__)
         self.pending = [pending[k] for k in order]
         self.ranks = [rank[k] for k in order]
-        self.words = [p["text"].split() for p in self.pending]
-        first, second, docs, starts, keys = [], [], [], [], []
-        for k, (words, p) in enumerate(zip(self.words, self.pending)):
-            at = places(np.array(p["windows"], np.int64))
-            hashes = word_hashes(words)
-            a, b = window_hashes(hashes, at, window)
-            first.append(a)
-            second.append(b >> np.uint64(32))
-            docs.append(np.full(len(at), k))
-            starts.append(at)
-            keys.append(window_keys(words, hashes, window)[at])
-        first, second = np.concatenate(first), np.concatenate(second)
-        self.docs, self.starts, self.keys = np.concatenate(docs), np.concatenate(starts), np.concatenate(keys)
+        all_ = Words([p["text"] for p in self.pending], window)
+        self.words = all_.parts
+        starts = [places(np.array(p["windows"], np.int64)) for p in self.pending]
+        self.docs = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
+        self.starts = np.concatenate(starts)
+        at = all_.begins[self.docs] + self.starts
+        self.keys = all_.keys[at]
+        first, second = window_hashes(all_.hashes, at, window)
+        second >>= np.uint64(32)
         order = np.argsort(first, kind="stable")
         a, b = first[order], second[order]
         if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
@@ -184,6 +187,8 @@ class Candidates:
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         self.first, self.second = a[new], b[new]
         self.least = np.array(self.ranks, np.int64)[self.docs[order][new]]
+        #: Whether a window is in several documents of the block.
+        self.repeated = np.array(self.ranks, np.int64)[self.docs[order][np.concatenate([new[1:], [True]])]] > self.least
         self.bucket = bucket_of(self.first, n)
         #: Number of the distinct window for each occurrence.
         self.entry = np.empty(len(first), np.int64)
@@ -232,9 +237,9 @@ def earlier_elsewhere(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": group.column("bucket"), "block": group.column("block"), "bits": pa.array(bits, pa.binary())})
 
 
-def symbol(k: int) -> str:
-    """Three digits for a number, each place with digits of its own, so that no match begins within a word."""
-    return chr(1 + k // (BASE * BASE)) + chr(1 + BASE + k // BASE % BASE) + chr(1 + 2 * BASE + k % BASE)
+def symbol(k: int, digits: int) -> str:
+    """Digits of a number, each place with characters of its own, so that no match begins within a word."""
+    return "".join([chr(1 + place * BASE + k // BASE**place % BASE) for place in range(digits)])
 
 
 class Located:
@@ -246,23 +251,21 @@ class Located:
         # First document of each occurrence's window; one below all for windows known from other blocks.
         owner = np.where(earlier, -LAST - 1, c.least)[c.entry]
         removed = owner < rank
-        cut = (np.diff(c.docs) != 0) | (np.diff(c.starts) != 1) | (np.diff(removed) != 0)
-        cut |= (c.keys[1:] != c.keys[:-1]) | (owner[1:] != owner[:-1])
+        cut = (np.diff(c.docs) != 0) | (np.diff(c.starts) != 1) | (owner[1:] != owner[:-1])
+        cut |= (c.keys[1:] != c.keys[:-1]) & (c.keys[1:] % np.uint64(CONTENT_CUT) == 0)
         begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
-        size = np.diff(np.concatenate([begin, [len(removed)]]))
-        begin, size = begin[removed[begin]], size[removed[begin]]
-        # First and last window fix the words of a passage of up to ``window`` windows.
-        more = -(-size // window)
-        part = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-        begin = np.repeat(begin, more) + part * window
-        size = np.minimum(np.repeat(size, more) - part * window, window)
-        seen: dict[tuple[int, int, int], int] = {}
-        ends = c.entry[begin + size - 1]
-        for k, passage in enumerate(zip(c.entry[begin].tolist(), ends.tolist(), size.tolist())):
-            seen.setdefault(passage, k)
-        kept = np.array(list(seen.values()), np.int64)
-        self.doc, self.start = c.docs[begin[kept]].tolist(), c.starts[begin[kept]].tolist()
-        self.length, self.owner = (size[kept] + window - 1).tolist(), owner[begin[kept]].tolist()
+        end = np.concatenate([begin[1:], [len(removed)]])
+        begin, end = begin[removed[begin]], end[removed[begin]]
+        seen: dict[bytes, tuple[int, int]] = {}
+        for a, b in zip(begin.tolist(), end.tolist()):
+            seen.setdefault(c.entry[a:b].tobytes(), (a, b))
+        kept = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+        first = kept[:, 0]
+        self.doc, self.start = c.docs[first].tolist(), c.starts[first].tolist()
+        self.length, self.owner = (kept[:, 1] - first + window - 1).tolist(), owner[first].tolist()
+        # Documents without a confirmed window have no passage.
+        confirmed = earlier | c.repeated
+        self.streamed = np.unique(c.docs[confirmed[c.entry]]).tolist()
 
     def shards(self) -> Iterator[list[int]]:
         shard, words = [], 0
@@ -281,19 +284,27 @@ class Located:
 
         c = self.c
         change = [np.zeros(len(w) + 1, np.int32) for w in c.words]
+        number: dict[bytes, int] = {}
+        for doc, start, length in zip(self.doc, self.start, self.length):
+            for word in c.words[doc][start : start + length]:
+                number.setdefault(word, len(number) + 1)
+        digits = 3
+        while BASE**digits <= len(number) + 1:
+            digits += 1
+        symbols = {word: symbol(k, digits) for word, k in number.items()}
+        other = symbol(0, digits)
+        streams = [(doc, "".join([symbols.get(w, other) for w in c.words[doc]])) for doc in self.streamed]
         for shard in self.shards():
-            number: dict[bytes, str] = {}
             automaton = ahocorasick.Automaton()
             for k in shard:
                 phrase = c.words[self.doc[k]][self.start[k] : self.start[k] + self.length[k]]
-                automaton.add_word("".join([number.get(w) or number.setdefault(w, symbol(len(number) + 1)) for w in phrase]), k)
+                automaton.add_word("".join([symbols[w] for w in phrase]), k)
             automaton.make_automaton()
-            other = symbol(0)
-            for doc, words in enumerate(c.words):
+            for doc, text in streams:
                 rank, marks = c.ranks[doc], change[doc]
-                for end, k in automaton.iter("".join([number.get(w, other) for w in words])):
+                for end, k in automaton.iter(text):
                     if self.owner[k] < rank:
-                        stop = end // 3 + 1
+                        stop = (end + 1) // digits
                         marks[stop - self.length[k]] += 1
                         marks[stop] -= 1
         return change
