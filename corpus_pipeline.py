@@ -20,6 +20,8 @@ from siftward.llm.toxicity import train, without_toxic
 #: Sources are levelled to nine tenths of the greatest entropy; no document is taken twice.
 MIX = Mix(entropy=0.9)
 TOKENIZER = "word_bpe_49k.json"
+#: Workers still hold memory of the stages before, so they keep fewer words and stems than the operator's own.
+CACHE = (100_000, 300_000)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in binary shards; the rows are read from them."""
-    return store_tokens(docs, public_tokenizers.path(TOKENIZER))
+    return store_tokens(docs, public_tokenizers.path(TOKENIZER), CACHE)
 
 
 STAGES = [

@@ -46,8 +46,10 @@ TRAILER = struct.Struct("<8sBQQQQ")
 SHARD_BYTES = 256 << 20
 
 
-#: Words and stems kept in a worker's memory, and words of a line.
-WORDS, STEMS, LINE = 500_000, 1_500_000, 64
+#: Words and stems kept in a worker's memory, some 160 bytes each.
+CACHE = (500_000, 1_500_000)
+#: New words that are encoded together.
+LINE = 64
 
 
 class Encoder:
@@ -57,7 +59,7 @@ class Encoder:
     encoding. New plain words go to the tokenizer in lines, which are cut at the tokens that end a word.
     """
 
-    def __init__(self, encoder, split: bool, end: str | None = None):
+    def __init__(self, encoder, split: bool, end: str | None = None, cache: tuple[int, int] = CACHE):
         self.encoder, self.split = encoder, split
         size = encoder.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -65,8 +67,8 @@ class Encoder:
         if split and end:
             self.ends = np.zeros(size, bool)
             self.ends[[k for token, k in encoder.get_vocab().items() if token.endswith(end)]] = True
-        self.words = Cache(self.joined, WORDS)
-        self.stems = Cache(self.of_stems, STEMS)
+        self.words = Cache(self.joined, cache[0])
+        self.stems = Cache(self.of_stems, cache[1])
 
     def encoded(self, pieces: list[bytes]) -> list[bytes]:
         batch = [p.decode("utf-8", "replace") for p in pieces]
@@ -197,7 +199,7 @@ MANIFEST = "file string, n_docs long, n_ids long, first_doc long, part int, numb
 
 def write_shards(
     docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID, key: str = "doc_id",
-    text: str = "text", shard_bytes: int = SHARD_BYTES,
+    text: str = "text", shard_bytes: int = SHARD_BYTES, cache: tuple[int, int] = CACHE,
 ) -> tuple[str, DataFrame]:
     """Encode and write all documents; returns the folder and the stored manifest.
 
@@ -216,7 +218,7 @@ def write_shards(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = for_worker(source, Encoder, split, mark)
+        encoder = for_worker(source, Encoder, split, mark, cache)
         end = np.array([end_id], encoder.kind).tobytes()
         store, base = file_system(folder)
         store.create_dir(base, recursive=True)
@@ -281,9 +283,9 @@ def digests(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
-def store_tokens(docs: DataFrame, path: str) -> DataFrame:
+def store_tokens(docs: DataFrame, path: str, cache: tuple[int, int] = CACHE) -> DataFrame:
     """Write a corpus as token ids and read the digest of each document back from the files."""
-    folder, manifest = write_shards(docs, path)
+    folder, manifest = write_shards(docs, path, cache=cache)
     return read_digests(docs.sparkSession, folder, manifest)
 
 
