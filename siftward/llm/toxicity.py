@@ -224,7 +224,8 @@ def train(
     # The order of tasks must not decide the result.
     found = found.sort_by([("doc_id", "ascending")])
     own, other = found.column("own"), found.column("other")
-    as_ids = lambda x: None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    # Views of the collected columns, not copies.
+    as_ids = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
     kinds, weights = found.column("toxic").to_pylist(), found.column("weight").to_pylist()
     return fit([(as_ids(a), as_ids(b), y, w) for a, b, y, w in zip(own, other, kinds, weights)], counterfactual)
 
