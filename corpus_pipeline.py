@@ -17,8 +17,9 @@ from siftward.llm.simhash import one_of_each_group
 from siftward.llm.token_store import store_tokens
 from siftward.llm.toxicity import train, without_toxic
 
-#: Sources are levelled to nine tenths of the greatest entropy; no document is taken twice.
-MIX = Mix(entropy=0.9)
+#: As many tokens as come in. Sources are levelled towards nine tenths of the greatest entropy, as far as none has to be
+#: passed over more than twice: scarce sources are repeated up to that and cannot cut the others.
+MIX = Mix(entropy=0.9, repeats=2.0)
 TOKENIZER = "word_bpe_49k.json"
 #: Workers still hold memory of the stages before, so they keep fewer words and stems than the operator's own.
 CACHE = (100_000, 300_000)
@@ -40,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source's part of the mixture, as large as it can be without taking a document twice."""
+    """Each source's part of the mixture; a document is a row for each time it is taken."""
     return mixed_documents(docs, MIX)
 
 

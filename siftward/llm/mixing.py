@@ -1,9 +1,9 @@
 """Operator 2: mixing sources to target weights. DataFrame functions only.
 
 Temperature mixing: a source's weight is its token share to the power of an exponent, normalised. The
-exponent is bisected in [0, 1], several halvings in each pass over the sources: either the largest at which the
-weights reach a target entropy, or the smallest (flattest mixture) at which no source is repeated beyond a limit.
-Entropy only falls with the exponent, and so do repetitions.
+exponent is bisected in [0, 1], several halvings in each pass over the sources: the largest at which the
+weights reach a target entropy, or the smallest (flattest mixture) at which no source is repeated beyond a limit;
+of both the larger, so that the limit goes before the target. Entropy only falls with the exponent, and so do repetitions.
 
 Weights become whole-document budgets: the documents of a source fall into blocks by a hash, each epoch
 over a source takes its blocks in a permuted order of its own, and of the block in which the
@@ -29,12 +29,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Mix:
-    """What the mixture has to meet: one of ``entropy`` and ``repeats``.
+    """What the mixture has to meet: ``entropy``, ``repeats``, or ``entropy`` as far as ``repeats`` allows.
 
     ``entropy``: least entropy of the weights, as a share of that of equal weights.
     ``repeats``: most epochs over any source.
-    ``budget``: tokens of the mixture. None: with ``repeats`` those of the corpus, with ``entropy`` as many as
-    the scarcest source allows without repetition.
+    ``budget``: tokens of the mixture. None: with ``repeats`` those of the corpus, with ``entropy`` alone as many as
+    the scarcest source allows without repetition, so that a very scarce source leaves little of the others.
     ``block_tokens``: tokens of a block on average; a source has at most 4096 blocks.
     """
 
@@ -45,8 +45,8 @@ class Mix:
     seed: int = 17
 
     def __post_init__(self):
-        if (self.entropy is None) == (self.repeats is None):
-            raise ValueError("set either entropy or repeats")
+        if self.entropy is None and self.repeats is None:
+            raise ValueError("set entropy, repeats or both")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -65,7 +65,13 @@ def hashed(*parts: Column | str) -> Column:
 
 
 def exponent(shares: DataFrame, mix: Mix, tokens: int) -> float:
-    """The bisected exponent, to 2^-30. A repetition limit that the shares themselves break gives 1.
+    """The bisected exponent, to 2^-30: with both aims the larger of theirs."""
+    aims = [aim for aim in ("entropy", "repeats") if getattr(mix, aim) is not None]
+    return max(bisected(shares, mix, tokens, aim) for aim in aims)
+
+
+def bisected(shares: DataFrame, mix: Mix, tokens: int, aim: str) -> float:
+    """The exponent of one aim. A repetition limit that the shares themselves break gives 1.
 
     ``shares`` has one row per source. A pass tries the 2^6 - 1 points that six halvings could reach and
     returns one row for each.
@@ -80,14 +86,14 @@ def exponent(shares: DataFrame, mix: Mix, tokens: int) -> float:
             F.sum(F.col("w") * F.log("w")).alias("wl"),
             F.max(F.col("w") / F.col("share")).alias("r"),
         )
-        if mix.entropy is not None:
+        if aim == "entropy":
             fits = F.log("z") - F.col("wl") / F.col("z") >= mix.entropy * most
         else:
             fits = F.col("r") / F.col("z") * ((mix.budget or tokens) / tokens) <= mix.repeats
         return sorted(row.x for row in sums.where(fits).select("x").collect())
 
     # Entropy is met below some exponent, a limit of repetitions above one.
-    below = mix.entropy is not None
+    below = aim == "entropy"
     ends = met([0.0, 1.0])
     if below and 1.0 in ends or not below and 1.0 not in ends:
         return 1.0
@@ -119,7 +125,7 @@ def weights(docs: DataFrame, mix: Mix) -> DataFrame:
     total = raised.agg(F.sum("raised")).first()[0] or 1.0
     weighted = raised.withColumn("weight", F.col("raised") / F.lit(total))
     budget = mix.budget
-    if budget is None and mix.entropy is not None:
+    if budget is None and mix.repeats is None:
         room = F.min(F.when(F.col("weight") > 0, F.col("n_tokens") / F.col("weight")))
         budget = int(weighted.agg(room).first()[0] or 0)
     elif budget is None:

@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -79,7 +80,7 @@ def test_stages_take_odd_and_no_documents(spark, messy, no_docs, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, no_docs, FOLDER).count() == 0
     out = stage(spark, messy, FOLDER)
-    assert out.count() > 10 and (name == "token_ids" or out.columns == messy.columns)
+    assert out.count() > 20 and (name == "token_ids" or out.columns == messy.columns)
 
 
 def test_hot_source_is_levelled(spark):
@@ -92,6 +93,17 @@ def test_hot_source_is_levelled(spark):
     assert all(count[f"s{k}"] > 100 for k in range(3))
 
 
+def test_scarce_source_does_not_cut_the_others(spark):
+    source = lambda i: "hot" if i % 3 == 0 else f"s{i % 19}"
+    rows = [(i, " ".join(["w"] * 30), None, source(i), 1) for i in range(12_000)]
+    rows += [(12_000 + k, "w w", None, None, 1) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["source_mixture"](spark, docs, FOLDER).collect()
+    assert 12_000 <= len(kept) <= 12_200 and len({r.doc_id for r in kept}) > 0.9 * len(rows)
+    assert {r.doc_id for r in kept if r.source is None} == {12_000, 12_001, 12_002}
+    assert max(Counter(r.doc_id for r in kept).values()) == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     from check_oracle import compare
