@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from siftward.session import cut_lineage, shared_folder
 
-__all__ = ["byte_slices", "cut_lineage", "file_system", "new_folder", "raw", "table", "texts"]
+__all__ = ["ROW", "byte_slices", "cut_lineage", "file_system", "keyed", "new_folder", "once", "raw", "table", "texts"]
+
+#: Columns of a row's key.
+ROW = ["row_a", "row_b"]
 
 #: Text held as Python objects at once in a task.
 SLICE_BYTES = 4 << 20
@@ -23,6 +26,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows with ``row_a`` and ``row_b``, 128 bits that are equal for rows equal in all columns only."""
+    values = [x for c in rows.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return rows.withColumns({name: F.xxhash64(F.lit(k), *values) for k, name in enumerate(ROW)})
+
+
+def once(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of the rows with these keys (few beside all) one each, with its key: equal rows are alike."""
+    found = rows.join(keys.select(*ROW), ROW, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ROW])
+    return found.groupBy(*ROW).agg(F.first(whole).alias("row")).select("row.*", *ROW)
+
+
 def raw(column: str | Column) -> Column:
     """UTF-8 bytes of a text, so that tasks need not decode it; null becomes empty."""
     column = F.col(column) if isinstance(column, str) else column

@@ -13,13 +13,14 @@ hold the blocks of a source (4096 at most) or the documents of one block.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftward.llm.common import cut_lineage, table
+from siftward.llm.common import ROW, cut_lineage, keyed, once, table
 
 #: Halvings in one pass, and passes.
 HALVINGS, PASSES = 6, 5
@@ -49,10 +50,11 @@ class Mix:
             raise ValueError("set entropy, repeats or both")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Id, source and tokens (words) of each document; a null source is the source ``''``."""
+def counted(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Id, source and tokens (words) of each document; a null source is the source ``''``. ``carried`` columns stay."""
     return docs.select(
         "doc_id",
+        *carried,
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
     )
@@ -137,25 +139,28 @@ def weights(docs: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
-def block_of(n_blocks: str, seed: int) -> Column:
-    digits = F.conv(F.substring(hashed(F.lit(f"{seed}-block"), "doc_id"), 1, 12), 16, 10).cast("long")
+def block_of(n_blocks: str, seed: int, name: Column | str = "doc_id") -> Column:
+    digits = F.conv(F.substring(hashed(F.lit(f"{seed}-block"), name), 1, 12), 16, 10).cast("long")
     return (digits % F.col(n_blocks)).alias("block")
 
 
-def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix, carried: Sequence[str] = ()) -> DataFrame:
     """One row for each time a document is taken: doc_id, source, n_tokens, epoch, slot, rank.
 
     A source is passed over as often as its budget asks: whole epochs take all its documents, the last takes blocks
     in that epoch's permuted order, and of the block where the budget ends the documents up to the one that
     reaches it. ``slot`` is the block's place in its epoch, ``rank`` the document's in its block (repeated rows have
     places of their own). Reading by epoch, slot and rank is the mixture's order. Documents without tokens are
-    taken in whole epochs and with their block.
+    taken in whole epochs and with their block. ``carried`` columns stay; they deal rows without id to blocks and
+    order them, which are one block else.
     """
-    rows = cut_lineage(counted(docs))
+    rows = cut_lineage(counted(docs, carried))
     plan = cut_lineage(weights(rows, mix))
     # Sources are few beside documents, but not bounded: no broadcast is forced.
-    dealt = rows.join(plan.select("source", "n_blocks"), "source").withColumn("block", block_of("n_blocks", mix.seed))
-    dealt = cut_lineage(dealt.select("doc_id", "source", "n_tokens", "block"))
+    dealt = rows.join(plan.select("source", "n_blocks"), "source")
+    name = F.coalesce(*[F.col(c).cast("string") for c in ("doc_id", *carried)], F.lit("null"))
+    dealt = dealt.withColumn("block", block_of("n_blocks", mix.seed, name))
+    dealt = cut_lineage(dealt.select("doc_id", *carried, "source", "n_tokens", "block"))
     per_block = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     wanted = plan.where("budget > 0 and n_tokens > 0").select(
         "source", "n_tokens", "budget", F.expr("CAST(budget div n_tokens AS INT)").alias("whole")
@@ -171,22 +176,30 @@ def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     taken = blocks.where("left > 0 or epoch < whole").select("source", "block", "epoch", "slot", "left", "block_tokens")
     joined = dealt.join(cut_lineage(taken), ["source", "block"])
     joined = joined.withColumn("order", hashed(F.lit(f"{mix.seed}-rank"), "doc_id", "epoch"))
-    in_block = Window.partitionBy("source", "block", "epoch").orderBy("order", "doc_id", "n_tokens")
+    in_block = Window.partitionBy("source", "block", "epoch").orderBy("order", "doc_id", "n_tokens", *carried)
     before = F.sum("n_tokens").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     ranked = joined.withColumn("rank", F.row_number().over(in_block) - 1).withColumn("before", before)
     kept = ranked.where("left >= block_tokens or before < left")
-    return kept.select("doc_id", "source", "n_tokens", "epoch", "slot", "rank")
+    return kept.select("doc_id", *carried, "source", "n_tokens", "epoch", "slot", "rank")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The documents of the mixture with their columns, a row for each time one is taken.
 
-    Rows are found by their id: those of one id, or without one, are taken together, in every epoch that takes any.
+    Rows are found by all their columns, so that of rows with one id, or without one, just those taken come; equal rows
+    come as often as rows of them were taken.
     """
-    taken = cut_lineage(mixed(docs, mix).select("doc_id", "epoch").distinct())
+    rows = keyed(docs)
+    numbered = cut_lineage(mixed(rows.select("doc_id", "text", "source", *ROW), mix, ROW).select(*ROW, "epoch"))
+    keys = rows.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(keys.where("n > 1").select(*ROW))
     # As many rows as documents: always by shuffle, also while they are few enough to be broadcast.
-    found = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["doc_id"]))
-    return found.select(*[docs[c] for c in docs.columns])
+    if repeated.isEmpty():
+        return rows.join(numbered.select(*ROW).hint("merge"), ROW).select(*docs.columns)
+    single = rows.join(numbered.join(repeated, ROW, "left_anti").select(*ROW).hint("merge"), ROW)
+    times = numbered.join(repeated, ROW, "left_semi").groupBy(*ROW).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    again = once(rows, repeated).join(times, ROW).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return single.select(*docs.columns).union(again.select(*docs.columns))
 
 
 #: A mixture of the corpus's size in which no source is passed over more than one and a quarter times.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftward.llm.common import byte_slices, cut_lineage, raw, table, texts
+from siftward.llm.common import ROW, byte_slices, cut_lineage, keyed, once, raw, table, texts
 from siftward.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -149,6 +149,14 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, paired: int = PAIRED_LI
     return twos.union(pairs).union(starred.select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct())
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """``fp`` and ``root``, the smallest fingerprint reached by links, of each distinct fingerprint."""
+    entries = cut_lineage(prints.select("fp").distinct())
+    roots = cut_lineage(components(links(entries)))
+    found = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return cut_lineage(found.select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row: doc_id, ``fp`` and ``component_id``, the smallest id among all documents reached by links.
 
@@ -156,19 +164,33 @@ def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
     Texts without words have the fingerprint zero and are one group.
     """
     prints = cut_lineage(docs.select("doc_id", fingerprint(text).alias("fp")))
-    entries = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut_lineage(components(links(entries.select("fp"))))
-    rooted = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = cut_lineage(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut_lineage(rooted.join(cut_lineage(smallest), "root").select("fp", "component_id"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    known = cut_lineage(rooted(prints).join(least, "fp"))
+    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = cut_lineage(known.join(cut_lineage(smallest), "root").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that have the smallest id of their group, and all without id; columns as they are."""
-    others = grouped(docs, text).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(cut_lineage(others), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group one row with the smallest id, and one of its rows without id; columns as they are.
+
+    Rows are told apart by all their columns, so it does not matter whether an id stands on several rows. Which of the
+    rows of one id (or without one) stays is decided by a hash; of equal rows it is one.
+    """
+    rows = keyed(docs)
+    prints = cut_lineage(rows.select("doc_id", *ROW, F.col("doc_id").isNull().alias("bare"), fingerprint(text).alias("fp")))
+    least = prints.groupBy("fp", "bare").agg(F.min(F.struct("doc_id", *ROW)).alias("least"))
+    known = cut_lineage(least.join(rooted(prints), "fp"))
+    smallest = known.groupBy("root", "bare").agg(F.min("least").alias("kept"))
+    classes = known.join(cut_lineage(smallest), ["root", "bare"]).select("fp", "bare", F.col("kept")[ROW[0]].alias("a"), F.col("kept")[ROW[1]].alias("b"))
+    marked = prints.join(cut_lineage(classes), ["fp", "bare"])
+    stays = (F.col(ROW[0]) == F.col("a")) & (F.col(ROW[1]) == F.col("b"))
+    others = cut_lineage(marked.where(~stays).select(*ROW).distinct())
+    repeated = cut_lineage(marked.where(stays).groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW))
+    if repeated.isEmpty():
+        return rows.join(others, ROW, "left_anti").select(*docs.columns)
+    single = rows.join(others.union(repeated), ROW, "left_anti")
+    return single.select(*docs.columns).union(once(rows, repeated).select(*docs.columns))
 
 
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -81,6 +81,15 @@ def test_one_of_each_group(messy, messy_rows, no_docs):
     assert simhash.one_of_each_group(no_docs).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    rng = random.Random(21)
+    one, two, three = (" ".join(str(rng.random()) for _ in range(50)) for _ in range(3))
+    # Copies without id; equal rows of the smallest id; an id on several texts, of which one is the only row of its group.
+    rows = [(None, one)] * 40 + [(4, two)] * 3 + [(7, two), (7, three)]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, one), (4, two), (7, three)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(k, k + 1) for k in range(40)]

@@ -131,6 +131,21 @@ def test_entropy_target_without_repetition(sourced):
     assert kept.columns == sourced.columns
 
 
+def test_documents_are_those_taken(spark):
+    rows = [(None, " ".join(f"{k}-{j}" for j in range(10)), "bare") for k in range(600)]
+    rows += [(None, "w w w w w", "equal")] * 300 + [(5, f"{k} b c d e", "one id") for k in range(300)]
+    rows += [(1000 + k, "a b c d e", "scarce") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mix = mixing.Mix(repeats=2.0, block_tokens=200)
+    plan = {r.source: r for r in mixing.weights(mixing.counted(docs), mix).collect()}
+    kept = mixing.mixed_documents(docs, mix).collect()
+    tokens = Counter()
+    for r in kept:
+        tokens[r.source] += len(r.text.split())
+    assert all(0 <= tokens[s] - p.budget < 10 for s, p in plan.items()) and plan["bare"].budget < 6000
+    assert {tuple(r) for r in kept} <= set(rows)
+
+
 def test_epochs_have_their_own_order(sourced):
     rows = mixing.mixed(sourced, mixing.Mix(repeats=9.0, budget=60_000, block_tokens=100)).collect()
     order = lambda e: [r.doc_id for r in sorted((r for r in rows if r.source == "b" and r.epoch == e), key=lambda r: (r.slot, r.rank))]
