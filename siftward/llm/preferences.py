@@ -2,7 +2,8 @@
 
 For a pair, the longest common prefix of turns is rendered once as the prompt; the turns after it are the two
 completions, each with the spans that count for the loss (the texts of the trained role).
-A conversation is one record and has to fit a row, as the rendered text does.
+A conversation is one record and has to fit a row, as the rendered text does: one over ``MOST_BYTES`` is an error before any
+is gathered. A turn without key is a conversation of its own.
 """
 
 from __future__ import annotations
@@ -19,20 +20,32 @@ START, MIDDLE, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Conversations among which one finds its counterpart, on average.
 RING = 1000
 SEED = 23
+#: Text of a conversation, in bytes: rendered on both sides of a pair it has to fit a row and a task.
+MOST_BYTES = 64 << 20
+#: What a turn counts besides its text.
+TURN_BYTES = 64
 TURNS = "array<struct<role: string, text: string>>"
 
 
-def gathered(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+def gathered(turns: DataFrame, key: str = "conv_id", most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per conversation: ``turns``, role and text in order of turn.
 
     Null turns come first; turns of equal number are ordered by role and text. Null roles and texts
-    are empty; rows without key are one conversation. The markers' opening ``<|`` inside a role or a text is written ``< |``.
+    are empty; a row without key is a conversation of its own. The markers' opening ``<|`` inside a role or a text is written ``< |``.
+    Sizes are summed first: a conversation of more than ``most_bytes`` is an error.
     """
     clean = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias(c) for c in ("role", "text")]
     rows = turns.select(key, "turn", *clean)
+    held = rows.where(F.col(key).isNotNull())
+    size = F.octet_length("role") + F.octet_length("text") + F.lit(TURN_BYTES)
+    large = held.groupBy(key).agg(F.sum(size.cast("long")).alias("size")).where(F.col("size") > most_bytes)
+    found = large.agg(F.count(F.lit(1)).alias("n"), F.max_by(F.col(key).cast("string"), "size").alias("name"), F.max("size").alias("size")).first()
+    if found.n:
+        raise ValueError(f"{found.n} conversations of more than {most_bytes} bytes, the largest {found.name!r} of {found.size}")
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     bare = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return rows.groupBy(key).agg(bare.alias("turns"))
+    single = rows.where(F.col(key).isNull()).select(key, F.array(F.struct("role", "text")).alias("turns"))
+    return held.groupBy(key).agg(bare.alias("turns")).union(single)
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -93,7 +106,8 @@ def paired(turns: DataFrame, trained: str = TRAINED, ring: int = RING, seed: int
     Chosen is a conversation up to its last answer (turn of the trained role); one without answers makes no pair.
     Its counterpart is the next conversation, by first turn and hash, in a ring of about ``ring`` dealt by a hash.
     Rejected is the counterpart itself where both open with the same turn, else the same turns with its
-    last answer instead. Alone in its ring, a conversation is its own counterpart.
+    last answer instead. Alone in its ring, a conversation is its own counterpart. Conversations without key are dealt
+    by their text.
     """
     whole = gathered(turns)
     answers = F.transform(F.col("turns"), lambda t: t["role"] == trained)
@@ -101,12 +115,13 @@ def paired(turns: DataFrame, trained: str = TRAINED, ring: int = RING, seed: int
     cut = whole.where(F.array_contains(answers, True)).withColumn("turns", F.slice("turns", 1, last.cast("int")))
     cut = cut_lineage(cut)
     rings = max(1, -(-cut.count() // ring))
-    number = F.conv(F.substring(hashed(F.lit(f"{seed}-ring"), "conv_id"), 1, 12), 16, 10).cast("long") % rings
     opening = F.col("turns")[0]
+    name = F.coalesce(F.col("conv_id").cast("string"), F.concat_ws("|", F.lit("null"), opening["role"], opening["text"]))
+    number = F.conv(F.substring(hashed(F.lit(f"{seed}-ring"), name), 1, 12), 16, 10).cast("long") % rings
     dealt = cut.withColumns({
         "ring": number,
         "opening": hashed(opening["role"], opening["text"]),
-        "place": hashed(F.lit(f"{seed}-place"), "conv_id"),
+        "place": hashed(F.lit(f"{seed}-place"), name),
     })
     order = Window.partitionBy("ring").orderBy("opening", "place")
     other = F.struct("conv_id", "turns", "opening")

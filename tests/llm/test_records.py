@@ -211,3 +211,18 @@ def test_small_rings_hold_all_conversations(spark):
     pairs = preferences.paired(frame, ring=7).collect()
     assert {r.conv_id for r in pairs} == set(range(60)) and Counter(r.partner_id for r in pairs).most_common(1)[0][1] == 1
     assert preferences.formatted(preferences.paired(frame.limit(0))).count() == 0
+
+
+def test_turns_without_key_are_conversations_of_their_own(spark):
+    rows = [(None, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(3000)] + [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = preferences.paired(frame, ring=50)
+    assert pairs.where("conv_id is null and size(chosen) = 1").count() == 1500 and pairs.count() == 1501
+
+
+def test_too_long_conversation_is_an_error_before_it_is_gathered(spark):
+    rows = [(1, t, "user", "x" * 100) for t in range(50)] + [(2, 0, "user", "q")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError, match="largest '1'"):
+        preferences.gathered(frame, most_bytes=5000)
+    assert preferences.gathered(frame, most_bytes=10_000).count() == 2
