@@ -1,9 +1,13 @@
 """Joins and running totals that no single key or range can overload."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from siftward.session import cut_lineage
+
 HOT_KEYS = 1000
+#: Rows of one range of a scan in order.
+RANGE_ROWS = 1_000_000
 
 
 def use_all_cores(rows: DataFrame) -> DataFrame:
@@ -50,34 +54,41 @@ def lookup_join(
     return joined.select(*rows.columns, *(found[v].alias(v) for v in values))
 
 
-def running_totals(
-    points: DataFrame, order: str, totals: dict[str, str], range_rows: int = 100_000
-) -> DataFrame:
-    """Running sums over all rows, from the highest ``order`` down.
+def in_ranges(rows: DataFrame, order: list[Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with ``_range``: their number of a range of ``order``, counted in that order.
+
+    One exchange by range into about ``range_rows`` rows each, stored, since a range's edges come from samples.
+    Rows with equal order values share a range, so an order with long ties needs a further column.
+    """
+    ranges = rows.count() // range_rows + 1
+    return cut_lineage(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+
 
-    ``points`` has one row per value of ``order`` and is read several times, so it should be stored. Quantiles
-    of those values cut them into even ranges of about ``range_rows``: each range sums by itself
-    and then adds what lies above it, so no task ever sees the whole order.
+def scanned(ranged: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
+    """Inclusive running sums in ``order`` of the columns ``totals`` names, for rows of ``in_ranges``.
+
+    Each range gets one more row in front, which carries the sums of all ranges before it, and then sums by itself.
+    Work is linear in the rows; nothing is joined or broadcast, and only the windows' one row a range meets in one task.
     """
-    buckets = points.count() // range_rows + 16
-    marks = [i / buckets for i in range(1, buckets)]
-    edges = points.select(F.percentile_approx(order, marks, 10 * buckets)).scalar()
-    bounded = points.withColumn("_edges", edges)
-    ranged = bounded.withColumn(
-        "_range", F.size(F.filter("_edges", lambda e: e <= F.col(order)))
-    ).drop("_edges")
     sums = ranged.groupBy("_range").agg(*(F.sum(c).alias(c) for c in totals))
-    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        "_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above_{c}") for c in totals)
-    )
-    within = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    summed = ranged.select("*", *(F.sum(c).over(within).alias(f"_sum_{c}") for c in totals))
-    # No more rows than ranges, however large the input.
-    whole = summed.join(F.broadcast(starts), "_range")
-    return whole.select(
-        *points.columns,
-        *((F.col(f"_sum_{c}") + F.col(f"_above_{c}")).alias(name) for c, name in totals.items()),
-    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = sums.select("_range", F.lit(True).alias("_seed"), *(F.sum(c).over(before).alias(c) for c in totals))
+    both = ranged.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    within = Window.partitionBy("_range").orderBy(F.desc("_seed"), *order)
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = both.select("*", *(F.sum(c).over(within).alias(name) for c, name in totals.items()))
+    return added.where("not _seed").drop("_seed", "_range")
+
+
+def running_totals(
+    points: DataFrame, order: str, totals: dict[str, str], range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Running sums over all rows, from the highest ``order`` down; ``points`` has one row per value of it."""
+    falling = [F.desc(order)]
+    return scanned(in_ranges(points, falling, range_rows), falling, totals)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with their place in ``order``, from 1. Rows with equal order values are numbered in any order."""
+    ranged = in_ranges(rows.withColumn("_one", F.lit(1).cast("long")), order, range_rows)
+    return scanned(ranged, order, {"_one": name}).drop("_one")

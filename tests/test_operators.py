@@ -28,7 +28,7 @@ from siftward.operators.similarity import (
     fit_names,
     name_similarity,
 )
-from siftward.operators.skew import lookup_join, running_totals
+from siftward.operators.skew import lookup_join, numbered, running_totals
 from siftward.session import cut_lineage
 
 
@@ -190,6 +190,25 @@ def test_running_totals(spark, range_rows):
         assert row["sum_b"] == sum(b for x, _, b in points if x >= row["x"])
 
 
+@pytest.mark.parametrize("range_rows", [20, 1000])
+def test_numbered_rows(spark, range_rows):
+    draw = random.Random(4)
+    rows = [(draw.randrange(9), None if i % 40 == 3 else i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "score int, id int")
+    order = [F.desc("score"), F.asc_nulls_last("id")]
+    got = numbered(frame, order, "place", range_rows).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 301))
+    expected = sorted(rows, key=lambda r: (-r[0], r[1] is None, r[1] or 0))
+    assert [(r["score"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == expected
+
+
+def test_scans_broadcast_nothing(spark):
+    frame = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(1).cast("long").alias("n"))
+    plan = running_totals(frame, "x", {"n": "sum_n"}, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert numbered(frame.limit(0), [F.asc("x")], "place").collect() == []
+
+
 # --- owners ----------------------------------------------------------------
 
 
