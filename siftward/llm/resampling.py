@@ -178,26 +178,28 @@ def parts_of(text: bytes, row: int, longest: int, limit: int = BATCH_BYTES) -> I
         context = (context + part.translate(WORD_BYTES).split())[1 - longest :] if longest > 1 else []
 
 
-def batches_of(array: pa.Array, longest: int) -> Iterator[tuple[int, int, Batch]]:
+def batches_of(array: pa.Array, longest: int, limit: int) -> Iterator[tuple[int, int, Batch]]:
     """First row, number of rows, and n-grams of consecutive parts of a column of texts; a long text comes in several."""
     start = 0
-    for part in byte_slices(array, BATCH_BYTES):
+    for part in byte_slices(array, limit):
         held = texts(part)
         if len(held) == 1:
-            for piece in parts_of(held[0], 0, longest):
+            for piece in parts_of(held[0], 0, longest, limit):
                 yield start, 1, Batch([piece], 1, longest)
         else:
             yield start, len(held), Batch([(k, t, WHOLE) for k, t in enumerate(held)], len(held), longest)
         start += len(held)
 
 
-def bucket_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
+def bucket_counts(
+    docs: DataFrame, text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """``bucket`` and ``n``, the occurrences of its features in all texts. A task sends one row a bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, _, found in batches_of(batch.column(0), longest):
+            for _, _, found in batches_of(batch.column(0), longest, batch_bytes):
                 kept = Interned(found.buffer, found.starts, found.sizes, buckets)
                 # Bins of weights are doubles, exact up to 2^53 occurrences in a batch.
                 total += np.bincount(kept.bucket[kept.filled], kept.count[kept.filled], buckets).astype(np.int64)
@@ -227,7 +229,7 @@ def gains(counted: DataFrame, wanted: DataFrame, buckets: int = BUCKETS) -> np.n
 FOUND = pa.struct([("n_words", pa.int64()), ("n_features", pa.int64()), ("gain", pa.int64())])
 
 
-def gathered(text: str | Column, gain: np.ndarray, longest: int = LONGEST) -> Column:
+def gathered(text: str | Column, gain: np.ndarray, longest: int = LONGEST, batch_bytes: int = BATCH_BYTES) -> Column:
     """Words, features and sum of gains of a text."""
     buckets = len(gain)
 
@@ -235,7 +237,7 @@ def gathered(text: str | Column, gain: np.ndarray, longest: int = LONGEST) -> Co
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             words, features, sums = (np.zeros(len(batch), np.int64) for _ in range(3))
-            for start, rows, found in batches_of(batch, longest):
+            for start, rows, found in batches_of(batch, longest, batch_bytes):
                 kept = Interned(found.buffer, found.starts, found.sizes, buckets)
                 each = gain[kept.bucket][kept.slots]
                 where = slice(start, start + rows)
@@ -257,6 +259,7 @@ def floor_div(a: str, b: str) -> Column:
 def resampled(
     docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", percent: int = DRAWN_PERCENT,
     least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS, longest: int = LONGEST,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Per row: doc_id, ``n_words``, ``n_features``, ``weight``, ``score`` and ``rank`` (null: not drawn).
 
@@ -266,10 +269,10 @@ def resampled(
     Null texts have no words; rows of one id, or of none, are rows of their own. Without a target all gains
     favour rare features; an empty corpus gives no rows. Other columns are ignored.
     """
-    counted = bucket_counts(docs, text, buckets, longest)
-    wanted = bucket_counts(target, target_text, buckets, longest)
+    counted = bucket_counts(docs, text, buckets, longest, batch_bytes)
+    wanted = bucket_counts(target, target_text, buckets, longest, batch_bytes)
     gain = gains(counted, wanted, buckets)
-    found = docs.select("doc_id", gathered(text, gain, longest).alias("found")).select("doc_id", "found.*")
+    found = docs.select("doc_id", gathered(text, gain, longest, batch_bytes).alias("found")).select("doc_id", "found.*")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000.0 * F.log(-F.log((h + 0.5) / 4294967296.0)))
