@@ -58,3 +58,10 @@ def stratified_split(
     partly = marked.filter(cut).withColumn("is_test", ranked <= F.col("_taken"))
     columns = [*frame.columns, "is_test"]
     return whole.select(*columns).unionByName(partly.select(*columns))
+
+
+def in_folds(rows: DataFrame, key: str, folds: int, seed: int = 42) -> DataFrame:
+    """Add ``fold`` (0 to ``folds`` - 1) by a hash of the key, the same for a row whatever else is there."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    fold = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int")
+    return rows.withColumn("fold", F.coalesce(fold, F.lit(0)))

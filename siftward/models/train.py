@@ -1,11 +1,13 @@
 """Classifiers, their vote, their tuning and their comparison."""
 
 import random
+from collections import defaultdict
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -15,12 +17,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftward.models.calibrate import CalibratedSVC
 from siftward.models.encode import encoder, feature_names
 from siftward.models.evaluate import accuracy, recall, roc_auc, roc_points
-from siftward.models.split import stratified_split
+from siftward.models.pruning import accuracies, pruned_model, pruning_of
+from siftward.models.split import in_folds, stratified_split
 from siftward.session import cut_lineage
 
 SEED = 42
@@ -68,17 +72,11 @@ def classifier_stages(name: str, n_rows: int, settings: Settings = Settings()) -
             )
         ]
     if name == "svm":
-        # The margin has no probability; a logistic curve over it gives one.
-        return [
-            LinearSVC(
-                maxIter=settings.max_iterations, tol=settings.svm_tolerance,
-                regParam=penalty, standardization=False, **common,
-            ),
-            LogisticRegression(
-                featuresCol="svm_raw", rawPredictionCol="svm_curve", regParam=penalty,
-                predictionCol="svm_curve_prediction", **probability,
-            ),
-        ]
+        machine = LinearSVC(
+            maxIter=settings.max_iterations, tol=settings.svm_tolerance,
+            regParam=penalty, standardization=False, **common,
+        )
+        return [CalibratedSVC(machine, seed=SEED)]
     if name == "decision_tree":
         return [
             DecisionTreeClassifier(
@@ -169,7 +167,9 @@ def train_ensemble(train: DataFrame, settings: Settings = Settings()) -> Pipelin
     with stored(encoding.transform(train)) as (rows, n_rows):
         stages = [s for v in settings.voters for s in classifier_stages(v, n_rows, settings)]
         fitted = Pipeline(stages=stages).fit(rows)
-    return PipelineModel([*encoding.stages, *fitted.stages])
+    # A classifier of several stages is a pipeline within; models are kept as one list of Spark's own stages.
+    flat = [s for f in fitted.stages for s in (f.stages if isinstance(f, PipelineModel) else [f])]
+    return PipelineModel([*encoding.stages, *flat])
 
 
 def ensemble_scores(
@@ -185,8 +185,9 @@ def ensemble_scores(
 class Budget:
     """How much to search; the defaults are those of the full search."""
 
-    tree_gains: Sequence[float] = tuple(i * 0.1 / 200 for i in range(201))
+    tree_strengths: Sequence[float] = tuple(i * 0.1 / 200 for i in range(201))
     tree_folds: int = 10
+    tree_least_split: int = 20
     forest_widths: Sequence[int] = tuple(range(1, 19))
     forest_trees: int = 500
     forest_folds: int = 5
@@ -198,6 +199,20 @@ class Budget:
     parallelism: int = 4
 
 
+@dataclass(frozen=True)
+class Search:
+    """The settings tried, the mean accuracy of each over the folds, and the best one's model of all rows."""
+
+    settings: list[dict]
+    scores: list[float]
+    bestModel: Model
+
+    @property
+    def best(self) -> int:
+        """The first of the highest scores."""
+        return max(range(len(self.scores)), key=self.scores.__getitem__)
+
+
 def _search(stage, grid: list, folds: int, parallelism: int) -> CrossValidator:
     judge = MulticlassClassificationEvaluator(
         predictionCol=stage.getPredictionCol(), metricName="accuracy"
@@ -208,17 +223,43 @@ def _search(stage, grid: list, folds: int, parallelism: int) -> CrossValidator:
     )
 
 
-def tune_tree(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidatorModel:
-    """Search for the gain a split must bring; stands in for later pruning."""
+def _searched(stage, grid: list, rows: DataFrame, folds: int, parallelism: int) -> Search:
+    fitted = _search(stage, grid, folds, parallelism).fit(rows)
+    settings = [{p.name: v for p, v in s.items()} for s in fitted.getEstimatorParamMaps()]
+    return Search(settings, list(fitted.avgMetrics), fitted.bestModel)
+
+
+def tune_tree(encoded: DataFrame, budget: Budget = Budget(), key: str = "pkg_name") -> Search:
+    """Search for the strength of cost-complexity pruning: one fit a fold judges all strengths."""
     tree = DecisionTreeClassifier(
         maxDepth=30, minInstancesPerNode=5, seed=SEED, probabilityCol="decision_tree_probability",
         **_outputs("decision_tree"),
     )
-    grid = ParamGridBuilder().addGrid(tree.minInfoGain, list(budget.tree_gains)).build()
-    return _search(tree, grid, budget.tree_folds, budget.parallelism).fit(encoded)
+    folded = in_folds(encoded, key, budget.tree_folds, SEED)
+
+    def judged(fold: int) -> list:
+        model = tree.fit(folded.where(F.col("fold") != fold))
+        pruning = pruning_of(model, budget.tree_least_split)
+        held = folded.where(F.col("fold") == fold)
+        return accuracies(model, pruning, held, budget.tree_strengths).collect()
+
+    shares = defaultdict(list)
+    with ThreadPool(budget.parallelism) as pool:
+        for rows in pool.map(judged, range(budget.tree_folds)):
+            for row in rows:
+                # A fold without rows judges nothing.
+                if row["n_rows"]:
+                    shares[row["strength"]].append(row["n_right"] / row["n_rows"])
+    scores = [sum(shares[s]) / len(shares[s]) for s in map(float, budget.tree_strengths)]
+    found = Search([{"strength": float(s)} for s in budget.tree_strengths], scores, None)
+    whole = tree.fit(encoded)
+    best = pruned_model(
+        whole, pruning_of(whole, budget.tree_least_split), found.settings[found.best]["strength"]
+    )
+    return Search(found.settings, scores, best)
 
 
-def tune_forest(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidatorModel:
+def tune_forest(encoded: DataFrame, budget: Budget = Budget()) -> Search:
     """Search for how many features a split may look at."""
     forest = RandomForestClassifier(
         numTrees=budget.forest_trees, maxDepth=30, minInstancesPerNode=5, seed=SEED,
@@ -226,10 +267,10 @@ def tune_forest(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidator
     )
     widths = [str(w) for w in budget.forest_widths]
     grid = ParamGridBuilder().addGrid(forest.featureSubsetStrategy, widths).build()
-    return _search(forest, grid, budget.forest_folds, budget.parallelism).fit(encoded)
+    return _searched(forest, grid, encoded, budget.forest_folds, budget.parallelism)
 
 
-def tune_boosting(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidatorModel:
+def tune_boosting(encoded: DataFrame, budget: Budget = Budget()) -> Search:
     """Random search over rounds, step and depth, refitted on all rows."""
     boosting = _boosting()
     draw = random.Random(SEED)
@@ -241,15 +282,12 @@ def tune_boosting(encoded: DataFrame, budget: Budget = Budget()) -> CrossValidat
         }
         for _ in range(budget.boosting_draws)
     ]
-    return _search(boosting, grid, budget.boosting_folds, budget.parallelism).fit(encoded)
+    return _searched(boosting, grid, encoded, budget.boosting_folds, budget.parallelism)
 
 
-def best_setting(search: CrossValidatorModel) -> tuple[dict, float]:
+def best_setting(search: Search) -> tuple[dict, float]:
     """Parameters with the highest mean score, and that score."""
-    scores = search.avgMetrics
-    best = max(range(len(scores)), key=scores.__getitem__)
-    chosen = search.getEstimatorParamMaps()[best]
-    return {param.name: value for param, value in chosen.items()}, scores[best]
+    return search.settings[search.best], search.scores[search.best]
 
 
 SEARCHES = {

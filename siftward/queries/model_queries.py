@@ -332,7 +332,7 @@ def _(t):
 
 # The searches with the smallest budget that still chooses; the full one is thousands of fits.
 SEARCH = Budget(
-    tree_gains=(0.0, 0.01), tree_folds=2, forest_widths=(2, 4), forest_trees=20, forest_folds=2,
+    tree_strengths=Budget().tree_strengths, tree_folds=10, forest_widths=(2, 4), forest_trees=20, forest_folds=2,
     boosting_draws=2, boosting_rounds=(5, 10), boosting_folds=2,
 )
 

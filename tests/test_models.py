@@ -6,12 +6,16 @@ from collections import Counter
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from siftward.models import train as training
 from siftward.models.encode import encoder, feature_names, learn_categories, split_columns
+from siftward.models.calibrate import CalibratedSVC
 from siftward.models.evaluate import classification_report, roc_auc, roc_points
-from siftward.models.split import stratified_split
+from siftward.models.split import in_folds, stratified_split
 from siftward.models.train import Budget, Settings
 from siftward.plans.training import train_and_judge
 
@@ -114,11 +118,12 @@ def test_tuning(features):
     train, _ = training.split_features(features)
     encoded = encoder(train.drop("label")).transform(train).cache()
     budget = Budget(
-        tree_gains=(0.0, 0.05), tree_folds=2, forest_widths=(1, 3), forest_trees=3, forest_folds=2,
+        tree_strengths=(0.0, 0.05), tree_folds=2, forest_widths=(1, 3), forest_trees=3, forest_folds=2,
         boosting_draws=2, boosting_rounds=(2, 3), boosting_folds=2,
     )
-    gain, score = training.best_setting(training.tune_tree(encoded, budget))
-    assert gain["minInfoGain"] in budget.tree_gains and 0.5 < score <= 1
+    search = training.tune_tree(encoded, budget)
+    strength, score = training.best_setting(search)
+    assert strength["strength"] in budget.tree_strengths and 0.5 < score <= 1 and score == max(search.scores)
     width, _ = training.best_setting(training.tune_forest(encoded, budget))
     assert width["featureSubsetStrategy"] in ("1", "3")
     draw, _ = training.best_setting(training.tune_boosting(encoded, budget))
@@ -128,7 +133,72 @@ def test_tuning(features):
         train, test, ("decision_tree", "random_forest", "boosting"), SMALL, budget
     ).collect()
     assert len(tuned) == 3 and all(r["test_auc"] >= 0.5 for r in tuned)
-    assert len(Budget().tree_gains) == 201 and len(Budget().forest_widths) == 18
+    assert len(Budget().tree_strengths) == 201 and len(Budget().forest_widths) == 18
+
+
+def svm_rows(spark, n, noise, seed):
+    """Few rows for many features, so that a machine is far surer of its own rows than of others."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        label = i % 3 == 0
+        x = [draw.gauss(1.2 * label, 1.0)] + [draw.gauss(0, 1) for _ in range(noise)]
+        rows.append((f"p{seed}-{i}", float(label), Vectors.dense(x)))
+    return spark.createDataFrame(rows, ["pkg_name", "label", "features"])
+
+
+def log_loss(rows, column):
+    p = F.greatest(F.least(vector_to_array(column)[1], F.lit(1 - 1e-12)), F.lit(1e-12))
+    return rows.agg(F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+
+
+def test_calibrated_margins_beat_those_of_training_rows(spark):
+    train, test = svm_rows(spark, 90, 40, 1).cache(), svm_rows(spark, 400, 40, 2).cache()
+    machine = LinearSVC(
+        rawPredictionCol="svm_raw", predictionCol="svm_prediction", regParam=1 / 90, maxIter=200, standardization=False
+    )
+    model = CalibratedSVC(machine).fit(train)
+    judged = model.transform(test)
+    own = machine.fit(train)
+    curve = LogisticRegression(
+        featuresCol="svm_raw", regParam=1 / 90, standardization=False, probabilityCol="old", rawPredictionCol="r", predictionCol="q"
+    ).fit(own.transform(train))
+    assert log_loss(judged, "svm_probability") < log_loss(curve.transform(own.transform(test)), "old") - 0.02
+    p = vector_to_array("svm_probability")
+    odd = judged.where((F.abs(p[0] + p[1] - 1) > 1e-9) | ((p[1] > p[0]) != (F.col("svm_curve") > 0.5))).count()
+    assert odd == 0
+
+
+def test_curve_equals_newton_steps(spark):
+    train = svm_rows(spark, 120, 3, 5).cache()
+    machine = LinearSVC(rawPredictionCol="svm_raw", predictionCol="svm_prediction", regParam=0.01, maxIter=100)
+    model = CalibratedSVC(machine, folds=4).fit(train)
+    marked = in_folds(train, "pkg_name", 4)
+    pairs = []
+    for fold in range(4):
+        fitted = machine.fit(marked.where(F.col("fold") != fold)).transform(marked.where(F.col("fold") == fold))
+        pairs += [(r["label"], r["svm_raw"][1]) for r in fitted.collect()]
+    n_pos = sum(y == 1 for y, _ in pairs)
+    high, low = (n_pos + 1) / (n_pos + 2), 1 / (len(pairs) - n_pos + 2)
+    slope = offset = 0.0
+    for _ in range(60):
+        g0 = g1 = h00 = h01 = h11 = 0.0
+        for y, m in pairs:
+            p = 1 / (1 + math.exp(-(slope * m + offset)))
+            t, w = (high if y == 1 else low), p * (1 - p)
+            g0, g1 = g0 + (p - t) * m, g1 + (p - t)
+            h00, h01, h11 = h00 + w * m * m, h01 + w * m, h11 + w
+        det = h00 * h11 - h01 * h01
+        slope, offset = slope - (h11 * g0 - h01 * g1) / det, offset - (h00 * g1 - h01 * g0) / det
+    curve = model.stages[2]
+    assert curve.coefficients[0] == pytest.approx(slope, rel=1e-5) and curve.intercept == pytest.approx(offset, abs=1e-5)
+
+
+def test_class_in_one_fold_only(spark):
+    rows = [(f"p{i}", float(i == 0), Vectors.dense([float(i == 0), float(i % 3)])) for i in range(12)]
+    train = spark.createDataFrame(rows, ["pkg_name", "label", "features"])
+    machine = LinearSVC(rawPredictionCol="svm_raw", predictionCol="svm_prediction", maxIter=20)
+    assert CalibratedSVC(machine).fit(train).transform(train).count() == 12
 
 
 def test_report_and_roc(spark):
