@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftward.models.calibrate import CalibratedSVC
-from siftward.models.encode import encoder, feature_names
+from siftward.models.encode import encoder, feature_places
 from siftward.models.evaluate import accuracy, recall, roc_auc, roc_points
 from siftward.models.pruning import accuracies, pruned_model, pruning_of
 from siftward.models.split import in_folds, stratified_split
@@ -343,10 +343,11 @@ def feature_importances(
     train: DataFrame, top: int = 15, settings: Settings = Settings()
 ) -> DataFrame:
     """The features a forest relies on most, with their share."""
-    with stored(encoder(_labelled(train)).transform(train)) as (rows, n_rows):
+    encoding = encoder(_labelled(train))
+    with stored(encoding.transform(train)) as (rows, n_rows):
         (forest,) = classifier_stages("random_forest", n_rows, settings)
         model = forest.fit(rows)
-        names = feature_names(rows)
-    shares = zip(names, model.featureImportances.toArray().tolist(), strict=True)
-    frame = train.sparkSession.createDataFrame(list(shares), "feature string, importance double")
-    return frame.orderBy(F.desc("importance"), "feature").limit(top)
+    shares = enumerate(model.featureImportances.toArray().tolist())
+    frame = train.sparkSession.createDataFrame(list(shares), "place int, importance double")
+    named = feature_places(encoding).join(frame, "place").select("feature", "importance")
+    return named.orderBy(F.desc("importance"), "feature").limit(top)

@@ -1,14 +1,18 @@
 """Queries over scores and models."""
 
 from functools import reduce
+from itertools import product
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from siftward.functions.risk import risk_tier, verdict
 from siftward.functions.text import text_features
 from siftward.functions.distance import name_distance_features
-from siftward.models.encode import learn_categories, one_hot_columns, standardised
+from siftward.models.encode import category_table, encoder, feature_places, standardised
+from siftward.models.calibrate import platt_targets
 from siftward.models.evaluate import accuracy, classification_report, recall, roc_auc, roc_points
+from siftward.models.pruning import Tree, path_rows, weakest_links
 from siftward.models.split import stratified_split
 from siftward.models.train import (
     MEASURES,
@@ -160,8 +164,22 @@ def training_rows(t):
 )
 def _(t):
     rows = training_rows(t).select("pkg_name", "lang")
-    encoded = one_hot_columns(learn_categories(rows, ["lang"]))
-    return rows.selectExpr("*", *(f"{sql} AS `{name}`" for name, sql in encoded.items()))
+    encoding = encoder(rows, scale=False)
+    # Four languages in these tables.
+    names = [r["feature"] for r in feature_places(encoding).orderBy("place").collect()]
+    entries = vector_to_array("features")
+    return encoding.transform(rows).select("pkg_name", "lang", *(entries[i].alias(n) for i, n in enumerate(names)))
+
+
+@query(
+    "category_numbers",
+    """SELECT c, value, dense_rank() OVER (PARTITION BY c ORDER BY value) - 1 AS number, count(*) AS n FROM (
+      SELECT 0 AS c, source AS value FROM documents UNION ALL SELECT 1, md5(text) FROM documents)
+    WHERE value IS NOT NULL GROUP BY c, value""",
+)
+def _(t):
+    # As many categories as different texts, beside a few.
+    return category_table(t.documents.select("source", F.md5("text").alias("digest")), ["source", "digest"])
 
 
 STANDARDISED = ("n_desc_len", "n_desc_lines", "pct_non_ascii_desc")
@@ -392,3 +410,65 @@ def _(t):
         F.get_json_object("features", "$.pkg_name").alias("feature_name"),
         F.get_json_object("raw_data", "$.n_requires").cast("long").alias("raw_requires"),
     )
+
+
+# A tree of four fixed tests over the labelled documents, as a node table in depth-first order. The oracle looks at
+# every one of its 677 subtrees.
+TESTS = ("lang = 'en'", "n_chars > 600", "n_chars > 200", "quality = 1")
+_BITS = " || ".join(f"CASE WHEN {x} THEN '1' ELSE '0' END" for x in TESTS)
+_LEVELS = "".join(
+    f""", s{d} AS (SELECT prefix, cost, 1 AS leaves FROM nodes WHERE depth = {d}"""
+    + ("" if d == 4 else f""" UNION ALL SELECT n.prefix, l.cost + r.cost, l.leaves + r.leaves FROM nodes n
+      JOIN s{d + 1} l ON l.prefix = n.prefix || '0' JOIN s{d + 1} r ON r.prefix = n.prefix || '1' WHERE n.depth = {d}""")
+    + ")"
+    for d in (4, 3, 2, 1, 0)
+)
+
+
+@query(
+    "pruning_path",
+    f"""WITH bits AS (SELECT {_BITS} AS b, toxic FROM documents JOIN labels USING (doc_id)),
+    grid AS (SELECT '' AS prefix, 0 AS depth UNION ALL SELECT lpad(bin(v), d::INTEGER, '0'), d
+      FROM (SELECT unnest(range(1, 5)) AS d), (SELECT unnest(range(0, 16)) AS v) WHERE v < 2 ** d),
+    nodes AS (SELECT prefix, depth, coalesce(2.0::DOUBLE * sum(toxic) * (count(b) - sum(toxic)) / nullif(count(b), 0)
+        / (SELECT count(*) FROM bits), 0) AS cost
+      FROM grid LEFT JOIN bits ON starts_with(b, prefix) GROUP BY prefix, depth)
+    {_LEVELS},
+    best AS (SELECT leaves, min(cost) AS cost FROM s0 GROUP BY leaves),
+    ends AS (SELECT b.leaves, b.cost,
+        greatest(0, coalesce(max((b.cost - o.cost) / (o.leaves - b.leaves)) FILTER (o.leaves > b.leaves), 0)) AS low,
+        coalesce(min((o.cost - b.cost) / (b.leaves - o.leaves)) FILTER (o.leaves < b.leaves), 1e9) AS high
+      FROM best b, best o GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY leaves DESC) - 1 AS step, round(low, 9) AS strength, leaves::BIGINT AS n_leaves,
+      round(cost, 9) AS cost FROM ends WHERE low < high - 1e-12""",
+)
+def _(t):
+    known = t.documents.join(t.labels, "doc_id")
+    bits = F.concat(*(F.when(F.expr(x), "1").otherwise("0") for x in TESTS))
+    cells = known.select(bits.alias("b"), "toxic").groupBy("b").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")
+    )
+    found = cells.select(
+        F.explode(F.array(*(F.substring("b", 1, d) for d in range(5)))).alias("prefix"), "n", "pos"
+    ).groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    # In the order of the prefixes, a node comes before its children and the left before the right.
+    order = {p: k for k, p in enumerate(sorted("".join(p) for d in range(5) for p in product("01", repeat=d)))}
+    places = [(k, p, order.get(p + "0", -1), order.get(p + "1", -1)) for p, k in order.items()]
+    nodes = t.spark.createDataFrame(places, "id int, prefix string, left int, right int").join(found, "prefix", "left")
+    share = F.coalesce(F.col("pos") / F.col("n"), F.lit(0.0))
+    nodes = nodes.select(
+        "id", "left", "right", F.coalesce("n", F.lit(0)).cast("double").alias("n_rows"),
+        (2 * share * (1 - share)).alias("impurity"), (share > 0.5).cast("double").alias("prediction"),
+    )
+    path = path_rows(t.spark, weakest_links(Tree.of_rows(nodes)))
+    return path.withColumns({c: F.round(c, 9) for c in ("strength", "cost")})
+
+
+@query(
+    "platt_targets",
+    """SELECT doc_id, toxic::DOUBLE AS label, (('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % 5)::INTEGER AS fold,
+      CASE WHEN toxic = 1 THEN (pos + 1) / (pos + 2)::DOUBLE ELSE 1 / (neg + 2)::DOUBLE END AS target
+    FROM labels, (SELECT count(*) FILTER (toxic = 1) AS pos, count(*) FILTER (toxic = 0) AS neg FROM labels)""",
+)
+def _(t):
+    return platt_targets(t.labels.select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")

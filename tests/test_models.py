@@ -8,11 +8,11 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import functions as F
 
 from siftward.models import train as training
-from siftward.models.encode import encoder, feature_names, learn_categories, split_columns
+from siftward.models.encode import category_table, encoder, feature_places, split_columns
 from siftward.models.calibrate import CalibratedSVC
 from siftward.models.evaluate import classification_report, roc_auc, roc_points
 from siftward.models.split import in_folds, stratified_split
@@ -53,16 +53,20 @@ def test_split_keeps_rows_without_label(spark):
 def test_encoding(features):
     texts, numbers = split_columns(features)
     assert (texts, numbers) == (["cat_repo_host"], ["x", "n", "has_it"])
-    assert learn_categories(features, texts) == {"cat_repo_host": ["github", "gitlab", "unknown"]}
-    encoded = encoder(features).transform(features)
-    assert feature_names(encoded) == [
+    table = category_table(features, texts).orderBy("number").collect()
+    assert [(r["value"], r["number"]) for r in table] == [("github", 0), ("gitlab", 1), ("unknown", 2)]
+    assert sum(r["n"] for r in table) == 300
+    encoding = encoder(features)
+    assert [r["feature"] for r in feature_places(encoding).orderBy("place").collect()] == [
         "cat_repo_host_gitlab", "cat_repo_host_unknown", "x", "n", "has_it",
     ]
-    rows = [r["features"].toArray() for r in encoded.collect()]
+    rows = [r["features"].toArray() for r in encoding.transform(features).collect()]
     for i in range(5):
         values = [r[i] for r in rows]
-        assert sum(values) / 300 == pytest.approx(0.0, abs=1e-9)
-        assert math.sqrt(sum(v * v for v in values) / 300) == pytest.approx(1.0)
+        mean = sum(values) / 300
+        # Entries of categories stay sparse; numbers are moved to mean 0.
+        assert min(values) == 0 if i < 2 else mean == pytest.approx(0.0, abs=1e-9)
+        assert math.sqrt(sum((v - mean) ** 2 for v in values) / 300) == pytest.approx(1.0)
 
 
 def test_unseen_category_and_constant(spark, features):
@@ -76,9 +80,28 @@ def test_unseen_category_and_constant(spark, features):
     assert scaled.first()["features"].toArray()[-1] == 0.0
 
 
-def test_too_many_categories(features):
-    with pytest.raises(ValueError):
-        learn_categories(features, ["pkg_name"], limit=100)
+def test_many_categories(spark, tmp_path):
+    """More categories than any list in a plan or on the driver could hold; most rows share one."""
+    n = 200_000
+    rows = spark.range(0, 2 * n, numPartitions=4).select(
+        F.concat(F.lit("p"), "id").alias("pkg_name"),
+        F.when(F.col("id") < n, F.format_string("v%06d", "id")).otherwise("v000007").alias("kind"),
+        F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 4).cast("double").alias("x"),
+        ((F.col("id") % 10 == 0) | (F.col("id") == 5)).cast("int").alias("is_spam"),
+    )
+    encoding = encoder(rows)
+    indexer = encoding.stages[0]
+    assert indexer.sizes == [n] and feature_places(encoding).count() == n
+    encoding.write().save(str(tmp_path / "encoding"))
+    encoded = PipelineModel.load(str(tmp_path / "encoding")).transform(rows)
+    some = {r["pkg_name"]: r["features"] for r in encoded.where("pkg_name in ('p0', 'p5', 'p300000')").collect()}
+    assert all(isinstance(v, SparseVector) and v.size == n for v in some.values())
+    # The first category has no entry.
+    assert [i for i in some["p0"].indices if i < n - 1] == []
+    assert [i for i in some["p5"].indices if i < n - 1] == [4] and [i for i in some["p300000"].indices if i < n - 1] == [6]
+    labelled = encoded.withColumn("label", F.col("is_spam").cast("double"))
+    model = LogisticRegression(maxIter=2, regParam=1e-3).fit(labelled)
+    assert model.transform(labelled).agg(F.count("prediction")).first()[0] == 2 * n
 
 
 def test_ensemble(features, spark, tmp_path):
