@@ -41,8 +41,8 @@ UNKNOWN = "und"
 SAMPLE_ONE_IN, SAMPLE_COUNT = 8, 2
 #: Size of a filter, 8 MiB, sent to each executor; bits set for a phrase.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 2
-#: Text taken at once in a task.
-BATCH_BYTES = 4 << 20
+#: Text taken at once in a task, and phrases of it spelt out at once.
+BATCH_BYTES, GIVEN_OUT = 4 << 20, 50_000
 
 #: Lower case for A-Z, a line feed for all that ends a piece, a blank for a tab.
 PIECE_BYTES = bytes(
@@ -99,23 +99,23 @@ def parts_of(text: bytes, limit: int = BATCH_BYTES) -> Iterator[tuple[bytes, int
     yield b" ".join([*context, text[at:]]), len(context)
 
 
-def batches_of(langs: list, held: Iterator) -> Iterator[tuple[bytes, bytes, int]]:
+def batches_of(langs: list, held: Iterator, limit: int = BATCH_BYTES) -> Iterator[tuple[bytes, bytes, int]]:
     """Language, text and context of bounded batches: short texts of one language together, parts of long ones alone."""
     waiting: dict[bytes, list[bytes]] = defaultdict(list)
     sizes: dict[bytes, int] = defaultdict(int)
     for lang, value in zip(langs, held):
         lang = UNKNOWN.encode() if lang is None else lang
         text = value.as_buffer().to_pybytes() if value.is_valid else b""
-        if len(text) > BATCH_BYTES:
-            for part, context in parts_of(text):
+        if len(text) > limit:
+            for part, context in parts_of(text, limit):
                 yield lang, part, context
             continue
         waiting[lang].append(text)
         sizes[lang] += len(text)
-        if sizes[lang] > BATCH_BYTES:
+        if sizes[lang] > limit:
             yield lang, END.join(waiting.pop(lang)).translate(PIECE_BYTES), 0
             sizes[lang] = 0
-        elif sum(sizes.values()) > 2 * BATCH_BYTES:
+        elif sum(sizes.values()) > 2 * limit:
             lang = max(sizes, key=sizes.get)
             yield lang, END.join(waiting.pop(lang)).translate(PIECE_BYTES), 0
             sizes[lang] = 0
@@ -125,56 +125,56 @@ def batches_of(langs: list, held: Iterator) -> Iterator[tuple[bytes, bytes, int]
 
 def counted_batch(
     lang: bytes, text: bytes, context: int, now: Filter | None, before: Filter | None
-) -> tuple[list[bytes], list[int], list[int]]:
-    """Phrases, their lengths and counts in a batch: those on the border of ``now`` that were not on that of ``before``.
+) -> Iterator[tuple[list[bytes], int, np.ndarray]]:
+    """Phrases, their length and counts in a batch: those on the border of ``now`` that were not on that of ``before``.
 
-    Without ``now`` only words are counted.
+    Without ``now`` only words are counted. Pairs and triples are numbers until they are given out, some at a time.
     """
     number: dict[bytes, int] = defaultdict(from_zero().__next__)
     number[END], number[NOTHING]
     tokens = text.replace(END, b" \n ").split(b" ")
     ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    del tokens
     ids = ids[ids != 1]
     spelt = list(number)
+    del number
     own = np.ones(len(ids), bool)
     # Words known from the part before; nothing else is in front of them.
     own[:context] = False
-    phrases: list[bytes] = []
-    lengths: list[int] = []
-    counts: list[int] = []
-
-    def take(some: list[bytes], size: int, times: np.ndarray) -> None:
-        phrases.extend(some)
-        lengths.extend([size] * len(some))
-        counts.extend(times.tolist())
 
     if before is None:
         times = np.bincount(ids[own], minlength=len(spelt))
         times[0] = 0
         used = np.flatnonzero(times)
-        take([spelt[k] for k in used.tolist()], 1, times[used])
+        for k in range(0, len(used), GIVEN_OUT):
+            part = used[k : k + GIVEN_OUT]
+            yield [spelt[w] for w in part.tolist()], 1, times[part]
     if now is None or len(ids) < 2:
-        return phrases, lengths, counts
-
-    def eligible(some: list[bytes], filter_: Filter | None) -> np.ndarray:
-        return np.zeros(len(some), bool) if filter_ is None else filter_.holds(lang, some)
+        return
 
-    word_now = eligible(spelt, now)
-    word_before = eligible(spelt, before)
+    word_now = now.holds(lang, spelt)
+    word_before = before.holds(lang, spelt) if before else np.zeros(len(spelt), bool)
     word_now[:2] = word_before[:2] = False
     a, b = ids[:-1], ids[1:]
     pair_at = np.flatnonzero(word_now[a] & word_now[b])
     if not len(pair_at):
-        return phrases, lengths, counts
+        return
     pairs, which = np.unique(a[pair_at] * len(spelt) + b[pair_at], return_inverse=True)
     first, second = pairs // len(spelt), pairs % len(spelt)
-    said = [spelt[x] + b" " + spelt[y] for x, y in zip(first.tolist(), second.tolist())]
     times = np.bincount(which[own[pair_at + 1]], minlength=len(pairs))
-    new = (times > 0) & ~(word_before[first] & word_before[second])
-    take([said[k] for k in np.flatnonzero(new).tolist()], 2, times[new])
+    pair_before = word_before[first] & word_before[second]
+    new = (times > 0) & ~pair_before
+    pair_now = np.empty(len(pairs), bool)
+    for k in range(0, len(pairs), GIVEN_OUT):
+        part = slice(k, k + GIVEN_OUT)
+        said = [spelt[x] + b" " + spelt[y] for x, y in zip(first[part].tolist(), second[part].tolist())]
+        pair_now[part] = now.holds(lang, said)
+        if pair_before[part].any():
+            pair_before[part] &= before.holds(lang, said)
+        given = np.flatnonzero(new[part])
+        if len(given):
+            yield [said[g] for g in given.tolist()], 2, times[part][given]
 
-    pair_now = eligible(said, now)
-    pair_before = eligible(said, before) & word_before[first] & word_before[second]
     # Pair number at each place, or none.
     number_at = np.full(len(ids), -1, np.int64)
     number_at[pair_at] = which
@@ -183,14 +183,19 @@ def counted_batch(
     places = places[pair_now[x[places]] & pair_now[y[places]]]
     places = places[own[np.minimum(places + 2, len(ids) - 1)]]
     places = places[~(pair_before[x[places]] & pair_before[y[places]])]
-    if len(places):
-        triples, times = np.unique(x[places] * len(pairs) + y[places], return_counts=True)
-        left, right = (triples // len(pairs)).tolist(), second[triples % len(pairs)].tolist()
-        take([said[p] + b" " + spelt[w] for p, w in zip(left, right)], 3, times)
-    return phrases, lengths, counts
-
-
-def border_counts(docs: DataFrame, now: Filter | None, before: Filter | None) -> DataFrame:
+    if not len(places):
+        return
+    triples, times = np.unique(x[places] * len(pairs) + y[places], return_counts=True)
+    left, right = triples // len(pairs), second[triples % len(pairs)]
+    for k in range(0, len(triples), GIVEN_OUT):
+        part = slice(k, k + GIVEN_OUT)
+        ends = (first[left[part]].tolist(), second[left[part]].tolist(), right[part].tolist())
+        yield [b" ".join((spelt[u], spelt[v], spelt[w])) for u, v, w in zip(*ends)], 3, times[part]
+
+
+def border_counts(
+    docs: DataFrame, now: Filter | None, before: Filter | None, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """``lang``, ``phrase``, ``size`` and exact ``n`` of all phrases that are on the border of ``now`` only."""
     context = docs.sparkSession.sparkContext
     shared = [None if f is None else context.broadcast(f.words) for f in (now, before)]
@@ -198,11 +203,11 @@ def border_counts(docs: DataFrame, now: Filter | None, before: Filter | None) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [None if s is None else Filter(s.value) for s in shared]
         for batch in batches:
-            for lang, text, known in batches_of(batch.column("lang").to_pylist(), iter(batch.column("text"))):
-                phrases, lengths, counts = counted_batch(lang, text, known, *filters)
-                if phrases:
+            held = batches_of(batch.column("lang").to_pylist(), iter(batch.column("text")), batch_bytes)
+            for lang, text, known in held:
+                for phrases, size, counts in counted_batch(lang, text, known, *filters):
                     columns = [pa.array([lang] * len(phrases), pa.binary()), pa.array(phrases, pa.binary())]
-                    columns += [pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())]
+                    columns += [pa.array(np.full(len(phrases), size, np.int32)), pa.array(counts)]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "n"])
 
     rows = docs.select(F.col("lang").cast("string").cast("binary").alias("lang"), raw("text").alias("text"))
@@ -212,7 +217,7 @@ def border_counts(docs: DataFrame, now: Filter | None, before: Filter | None) ->
 
 def filter_of(phrases: DataFrame, base: Filter | None) -> Filter:
     """A filter that holds these phrases and all that ``base`` holds. Each task sends the words of its bits only."""
-    bits = FILTER_BITS if base is None else base.bits
+    bits = base.bits if base else FILTER_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Filter(bits=bits)
@@ -247,7 +252,7 @@ def proposed(docs: DataFrame, one_in: int = SAMPLE_ONE_IN, least: int = SAMPLE_C
 
 def frequent_phrases(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST_COUNT,
-    one_in: int = SAMPLE_ONE_IN, sample_count: int = SAMPLE_COUNT,
+    one_in: int = SAMPLE_ONE_IN, sample_count: int = SAMPLE_COUNT, batch_bytes: int = BATCH_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to three words with ``least`` occurrences or more, with their exact ``n``; and words by language.
 
@@ -258,7 +263,7 @@ def frequent_phrases(
     found: list[DataFrame] = []
     totals = None
     while True:
-        counted = border_counts(docs, now, before)
+        counted = border_counts(docs, now, before, batch_bytes)
         if totals is None:
             counted = cut_lineage(counted.where((F.col("size") == 1) | (F.col("n") >= least)))
             totals = cut_lineage(counted.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")))
@@ -284,7 +289,7 @@ def cuts(size: int) -> list[int]:
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST_COUNT, top: int = TOP,
-    contained: int = CONTAINED_PERCENT, one_in: int = SAMPLE_ONE_IN, sample_count: int = SAMPLE_COUNT,
+    contained: int = CONTAINED_PERCENT, one_in: int = SAMPLE_ONE_IN, sample_count: int = SAMPLE_COUNT, batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -293,7 +298,7 @@ def collocations(
     candidate inside a longer one with at least ``contained`` per cent of its count is dropped. An empty table,
     or one without a phrase often enough, gives no rows. Repeated rows count each time; ids and other columns are ignored.
     """
-    phrases, totals = frequent_phrases(docs, text, lang, least, one_in, sample_count)
+    phrases, totals = frequent_phrases(docs, text, lang, least, one_in, sample_count, batch_bytes)
     words = F.split(F.col("phrase").cast("string"), " ")
     candidates = phrases.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), words.alias("words"))
 
