@@ -53,30 +53,40 @@ END, NOTHING = b"\n", b""
 
 
 class Filter:
-    """Bloom filter over (language, phrase); grows by ``add``, and travels as an array of 64-bit words."""
+    """Bloom filter over hashes of words and pairs with their language; travels as an array of 64-bit words."""
 
     def __init__(self, words: np.ndarray | None = None, bits: int = FILTER_BITS):
         self.words = np.zeros(bits // 64, np.uint64) if words is None else words
         self.bits = 64 * len(self.words)
 
-    def places(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        lead = lang + b"\0"
-        whole = np.array([xxhash.xxh3_64_intdigest(lead + p) for p in phrases], np.uint64)
-        low, high = whole & np.uint64(0xFFFFFFFF), whole >> np.uint64(32)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
         steps = np.arange(FILTER_HASHES, dtype=np.uint64)[:, None]
         return (low + steps * (high | np.uint64(1))) % np.uint64(self.bits)
 
-    def holds(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        places = self.places(lang, phrases)
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        places = self.places(hashes)
         return ((self.words[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)).all(0)
 
-    def add(self, lang: bytes, phrases: list[bytes]) -> None:
-        places = self.places(lang, phrases).ravel()
+    def add(self, hashes: np.ndarray) -> None:
+        places = self.places(hashes).ravel()
         np.bitwise_or.at(self.words, places >> np.uint64(6), np.uint64(1) << (places & np.uint64(63)))
 
 
+def word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    seed = xxhash.xxh3_64_intdigest(lang)
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of pairs by the hashes of their words, so that a pair need not be spelt out."""
+    mixed = (first ^ (second * np.uint64(0x9E3779B97F4A7C15) + (second >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
 def parts_of(text: bytes, limit: int = BATCH_BYTES) -> Iterator[tuple[bytes, int]]:
     """A text in parts of about ``limit`` bytes, and how many first words of a part belong to the one before.
 
@@ -152,8 +162,9 @@ def counted_batch(
     if now is None or len(ids) < 2:
         return
 
-    word_now = now.holds(lang, spelt)
-    word_before = before.holds(lang, spelt) if before else np.zeros(len(spelt), bool)
+    hashes = word_hashes(lang, spelt)
+    word_now = now.holds(hashes)
+    word_before = before.holds(hashes) if before else np.zeros(len(spelt), bool)
     word_now[:2] = word_before[:2] = False
     a, b = ids[:-1], ids[1:]
     pair_at = np.flatnonzero(word_now[a] & word_now[b])
@@ -163,17 +174,15 @@ def counted_batch(
     first, second = pairs // len(spelt), pairs % len(spelt)
     times = np.bincount(which[own[pair_at + 1]], minlength=len(pairs))
     pair_before = word_before[first] & word_before[second]
-    new = (times > 0) & ~pair_before
-    pair_now = np.empty(len(pairs), bool)
-    for k in range(0, len(pairs), GIVEN_OUT):
-        part = slice(k, k + GIVEN_OUT)
+    new = np.flatnonzero((times > 0) & ~pair_before)
+    for k in range(0, len(new), GIVEN_OUT):
+        part = new[k : k + GIVEN_OUT]
         said = [spelt[x] + b" " + spelt[y] for x, y in zip(first[part].tolist(), second[part].tolist())]
-        pair_now[part] = now.holds(lang, said)
-        if pair_before[part].any():
-            pair_before[part] &= before.holds(lang, said)
-        given = np.flatnonzero(new[part])
-        if len(given):
-            yield [said[g] for g in given.tolist()], 2, times[part][given]
+        yield said, 2, times[part]
+    both = pair_hashes(hashes[first], hashes[second])
+    pair_now = now.holds(both)
+    if before:
+        pair_before &= before.holds(both)
 
     # Pair number at each place, or none.
     number_at = np.full(len(ids), -1, np.int64)
@@ -226,7 +235,11 @@ def filter_of(phrases: DataFrame, base: Filter | None) -> Filter:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
                 by_lang[lang].append(phrase)
             for lang, some in by_lang.items():
-                found.add(lang, some)
+                words = [p.split(b" ") for p in some]
+                first = word_hashes(lang, [w[0] for w in words])
+                two = np.array([len(w) == 2 for w in words])
+                second = word_hashes(lang, [w[-1] for w in words])
+                found.add(np.where(two, pair_hashes(first, second), first))
         used = np.flatnonzero(found.words)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used.astype(np.int64)), pa.array(found.words[used].view(np.int64))], ["place", "bits"]
