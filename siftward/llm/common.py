@@ -10,12 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftward.session import cut_lineage, shared_folder
 
-__all__ = ["ROW", "byte_slices", "cut_lineage", "file_system", "keyed", "new_folder", "once", "raw", "table", "texts"]
+__all__ = ["ROW", "byte_slices", "columns_of", "cut_lineage", "file_system", "free_name", "keyed", "met", "new_folder", "one_row_each", "once", "raw",
+           "table", "texts", "within"]
 
-#: Columns of a row's key.
+#: Columns of a row's key, where a table has none of these names.
 ROW = ["row_a", "row_b"]
 
 #: Text held as Python objects at once in a task.
@@ -26,17 +28,55 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """Rows with ``row_a`` and ``row_b``, 128 bits that are equal for rows equal in all columns only."""
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, longer by as much as it takes to be none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(rows: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in rows.columns]
+
+
+def keyed(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows with two more columns, and their names: 128 bits that are equal for rows equal in all columns only."""
     values = [x for c in rows.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    return rows.withColumns({name: F.xxhash64(F.lit(k), *values) for k, name in enumerate(ROW)})
+    names = [free_name(rows, name) for name in ROW]
+    return rows.withColumns({name: F.xxhash64(F.lit(k), *values) for k, name in enumerate(names)}), names
 
 
-def once(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def once(rows: DataFrame, key: list[str], keys: DataFrame) -> DataFrame:
     """Of the rows with these keys (few beside all) one each, with its key: equal rows are alike."""
-    found = rows.join(keys.select(*ROW), ROW, "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ROW])
-    return found.groupBy(*ROW).agg(F.first(whole).alias("row")).select("row.*", *ROW)
+    found = rows.join(keys.select(*key), key, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in key])
+    row = free_name(rows, "row")
+    return found.groupBy(*key).agg(F.first(whole).alias(row)).select(f"{row}.*", *key)
+
+
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle at every size: what a stored table takes in memory is not known from its files."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def one_row_each(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id`` and ``text`` (bytes) of the ids, with the other columns of ``ids`` (few rows, one for an id).
+
+    An id on several rows stands for the one whose text has the smallest hash; of it one row comes back, however many it has.
+    """
+    found = docs.select("doc_id", raw(text).alias("text")).join(F.broadcast(ids), "doc_id")
+    others = [c for c in ids.columns if c != "doc_id"]
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return found.groupBy("doc_id", *others).agg(least).select("doc_id", F.col("least.text").alias("text"), *others)
+
+
+def within(rows: DataFrame, size: str, most: int, *order: Column) -> DataFrame:
+    """Of a bounded number of rows the first in order whose sizes add up to ``most``; a larger one is passed over."""
+    fitting = rows.where(F.col(size) <= most)
+    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = free_name(rows, "so_far")
+    return fitting.withColumn(so_far, F.sum(size).over(running)).where(F.col(so_far) <= most).drop(so_far)
 
 
 def raw(column: str | Column) -> Column:

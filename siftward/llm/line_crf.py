@@ -7,6 +7,7 @@ sequences of such integers; decoding finds the best label sequence (Viterbi).
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -20,6 +21,8 @@ UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
 ASCII_OTHER = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122))
 SYMBOLS = b"#*$%&|<>"
+#: Lines of a sequence fitted at once, and cells of a batch of sequences.
+PART_LINES, BATCH_CELLS = 2000, 100_000
 
 
 def line_mask(line: bytes, words: list[bytes], seen: bool) -> int:
@@ -113,8 +116,13 @@ class LineField:
         cls, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 60, penalty: float = 1e-3,
         rate: float = 0.3,
     ) -> LineField:
-        """Maximum likelihood with an L2 penalty, by adaptive gradient steps over all sequences."""
-        kept = [(s, y) for s, y in zip(sequences, labels) if len(s)]
+        """Maximum likelihood with an L2 penalty, by adaptive gradient steps over all sequences.
+
+        A sequence of more than ``PART_LINES`` lines is taken in parts that share a line, so that no step is lost.
+        """
+        parts = ((s[k : k + PART_LINES], y[k : k + PART_LINES]) for s, y in zip(sequences, labels)
+                 for k in range(0, max(len(s) - 1, 1), PART_LINES - 1))
+        kept = [(s, y) for s, y in parts if len(s)]
         if not kept:
             return cls()
         kept.sort(key=lambda x: len(x[0]))
@@ -122,8 +130,7 @@ class LineField:
         kinds = np.unique(np.concatenate([s for s, _ in kept]))
         features = expand(kinds)
         batches = []
-        for at in range(0, len(kept), 512):
-            part = kept[at : at + 512]
+        for part in evened(kept):
             longest = len(part[-1][0])
             which = np.zeros((len(part), longest), np.int64)
             wanted = np.zeros((len(part), longest), np.int64)
@@ -152,6 +159,17 @@ class LineField:
         return model
 
 
+def evened(kept: list[tuple[np.ndarray, np.ndarray]], cells: int = BATCH_CELLS) -> Iterator[list]:
+    """Sequences, sorted by length, in batches that have about ``cells`` cells when filled up to their longest."""
+    part: list = []
+    for entry in kept:
+        if part and (len(part) + 1) * len(entry[0]) > cells:
+            yield part
+            part = []
+        part.append(entry)
+    yield part
+
+
 def expected_less_wanted(
     scores: np.ndarray, step: np.ndarray, wanted: np.ndarray, length: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -167,14 +185,15 @@ def expected_less_wanted(
         behind[:, t] = np.where((t + 1 < length)[:, None], more, 0.0)
     whole = np.logaddexp.reduce(ahead[np.arange(n), length - 1], axis=1)
     inside = np.arange(longest) < length[:, None]
-    lines = np.exp(ahead + behind - whole[:, None, None]) * inside[:, :, None]
+    # Beyond a sequence's end the scores mean nothing and may be of any size, so they are left out before the exponential.
+    lines = np.exp(np.where(inside[:, :, None], ahead + behind - whole[:, None, None], -np.inf))
     steps = np.zeros((2, 2))
     if longest > 1:
         pairs = (
             ahead[:, :-1, :, None] + step + (scores[:, 1:] + behind[:, 1:])[:, :, None, :] - whole[:, None, None, None]
         )
         both = inside[:, 1:]
-        steps += np.where(both[:, :, None, None], np.exp(np.minimum(pairs, 0.0)), 0.0).sum((0, 1))
+        steps += np.exp(np.where(both[:, :, None, None], np.minimum(pairs, 0.0), -np.inf)).sum((0, 1))
         np.add.at(steps, (wanted[:, :-1][both], wanted[:, 1:][both]), -1.0)
     rows, cols = np.nonzero(inside)
     lines[rows, cols, wanted[rows, cols]] -= 1.0

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftward.llm.common import byte_slices, raw, table, texts
+from siftward.llm.common import byte_slices, cut_lineage, one_row_each, raw, table, texts, within
 from siftward.llm.line_crf import SYMBOLS, LineField, line_masks
 
-#: Labelled documents of each kind for the fit; the only bound in this operator.
-SAMPLE_DOCUMENTS = 1500
+#: Labelled documents of each kind for the fit, and lines of them all; the only bounds in this operator.
+SAMPLE_DOCUMENTS, SAMPLE_LINES = 1500, 400_000
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Least share (per cent) of words in content lines.
@@ -88,7 +88,8 @@ def measures(text: bytes, field: LineField) -> dict[str, int]:
 def sampled(docs: DataFrame, labels: DataFrame, documents: int) -> DataFrame:
     """Texts and labels of at most so many documents of each quality, those first by a hash of the id.
 
-    A document labelled more than once counts as good only if every label says so.
+    A document labelled more than once counts as good only if every label says so. Of several rows of an id one is
+    taken (``one_row_each``).
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     parts = [
@@ -96,11 +97,14 @@ def sampled(docs: DataFrame, labels: DataFrame, documents: int) -> DataFrame:
     ]
     ids = parts[0].unionByName(parts[1])
     # At most two times ``documents`` ids.
-    return docs.select("doc_id", raw("text").alias("text")).join(F.broadcast(ids), "doc_id")
+    return one_row_each(docs, ids)
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> LineField:
-    """The field for these documents; without labels one that calls every line content."""
+def fit_field(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_LINES) -> LineField:
+    """The field for these documents; without labels one that calls every line content.
+
+    Documents are taken in the order of a hash of their ids until they have ``lines`` lines; longer ones are left out.
+    """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +117,14 @@ def fit_field(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUME
                     lines = lines_of(text)
                     masks.append(line_masks(lines))
                     wanted.append([int(quality > 0 and not seen) for _, _, seen in lines])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(masks, pa.list_(pa.int32())), pa.array(wanted, pa.list_(pa.int32()))], ["masks", "wanted"]
-                )
-
-    rows = sampled(docs, labels, documents).select("text", "quality")
-    found = rows.mapInArrow(describe, "masks array<int>, wanted array<int>").toArrow()
+                columns = [pa.array(masks, pa.list_(pa.int32())), pa.array(wanted, pa.list_(pa.int32()))]
+                ids = batch.column("doc_id").slice(start - len(part), len(part)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "masks", "wanted"])
+
+    rows = sampled(docs, labels, documents).select("doc_id", "text", "quality")
+    described = cut_lineage(rows.mapInArrow(describe, "doc_id long, masks array<int>, wanted array<int>"))
+    described = described.withColumn("size", F.size("masks"))
+    found = within(described, "size", lines, F.xxhash64("doc_id"), F.col("doc_id")).select("masks", "wanted").toArrow()
     masks = [np.asarray(x, np.int64) for x in found.column("masks").to_pylist()]
     wanted = [np.asarray(x, np.int64) for x in found.column("wanted").to_pylist()]
     return LineField.fit(masks, wanted)
