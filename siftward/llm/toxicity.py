@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftward.llm.common import byte_slices, raw, table, texts
+from siftward.llm.common import byte_slices, cut_lineage, one_row_each, raw, table, texts, within
 
-#: Labelled documents of each kind for the fit.
-SAMPLE_DOCUMENTS = 4000
+#: Labelled documents of each kind for the fit, and features of them all.
+SAMPLE_DOCUMENTS, SAMPLE_FEATURES = 4000, 8_000_000
 BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -179,10 +179,12 @@ def held_out(key: str = "doc_id") -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, terms=IDENTITY_TERMS,
-    counterfactual: float = COUNTERFACTUAL,
+    counterfactual: float = COUNTERFACTUAL, most_features: int = SAMPLE_FEATURES,
 ) -> Classifier:
     """Fit on at most ``documents`` labelled rows of each kind, those first by a hash of the id.
 
+    They are taken in that order until they have ``most_features`` features; one with more is passed over. Of several
+    rows of an id one is taken (``one_row_each``).
     Sampled kinds are weighted back to their true share. A document with several labels is toxic if one says so.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
@@ -196,7 +198,7 @@ def train(
         return Classifier({}, None)
     ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # At most two times ``documents`` ids.
-    rows = docs.select("doc_id", raw("text").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = one_row_each(docs, ids)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swaps = Swaps(terms)
@@ -220,9 +222,11 @@ def train(
                 start += len(part)
 
     schema = "own array<int>, other array<int>, toxic int, weight double, doc_id long"
-    found = rows.select("text", "toxic", "weight", "doc_id").mapInArrow(describe, schema).toArrow()
+    described = cut_lineage(rows.select("text", "toxic", "weight", "doc_id").mapInArrow(describe, schema))
+    size = F.size("own") + F.greatest(F.size("other"), F.lit(0))
+    described = within(described.withColumn("size", size), "size", most_features, F.xxhash64("doc_id"), F.col("doc_id"))
     # The order of tasks must not decide the result.
-    found = found.sort_by([("doc_id", "ascending")])
+    found = described.orderBy("doc_id").drop("size", "doc_id").toArrow()
     own, other = found.column("own"), found.column("other")
     # Views of the collected columns, not copies.
     as_ids = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
