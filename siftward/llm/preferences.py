@@ -154,23 +154,25 @@ def _sql_spans(turns: str) -> str:
 
 ORACLE = f"""
 WITH clean AS (
-    SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS r, replace(coalesce(text, ''), '<|', '< |') AS x
+    SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS r, replace(coalesce(text, ''), '<|', '< |') AS x,
+        CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone
     FROM conversations
 ), whole AS (
-    SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, r, x) AS turns FROM clean GROUP BY conv_id
+    SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, r, x) AS turns FROM clean GROUP BY conv_id, alone
 ), cut AS (
     SELECT conv_id, turns[1:list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].r = '{TRAINED}'))] AS turns
     FROM whole WHERE len(list_filter(turns, lambda t: t.r = '{TRAINED}')) > 0
 ), dealt AS (
     SELECT conv_id, turns, md5(turns[1].r || '|' || turns[1].x) AS opening,
-        md5('{SEED}-place|' || coalesce(CAST(conv_id AS VARCHAR), 'null')) AS place,
-        CAST('0x' || substr(md5('{SEED}-ring|' || coalesce(CAST(conv_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)
+        md5('{SEED}-place|' || coalesce(CAST(conv_id AS VARCHAR), 'null|' || turns[1].r || '|' || turns[1].x)) AS place,
+        CAST('0x' || substr(md5('{SEED}-ring|' || coalesce(CAST(conv_id AS VARCHAR), 'null|' || turns[1].r || '|' || turns[1].x)), 1, 12) AS BIGINT)
             % (SELECT greatest(1, CAST(ceil(count(*) / {RING}) AS BIGINT)) FROM cut) AS ring
     FROM cut
 ), near AS (
-    SELECT conv_id, turns AS a, opening, coalesce(lead(conv_id) OVER w, first(conv_id) OVER w) AS partner_id,
-        coalesce(lead(turns) OVER w, first(turns) OVER w) AS other, coalesce(lead(opening) OVER w, first(opening) OVER w) AS other_opening
-    FROM dealt WINDOW w AS (PARTITION BY ring ORDER BY opening, place)
+    SELECT conv_id, a, opening, o.c AS partner_id, o.t AS other, o.o AS other_opening FROM (
+        SELECT conv_id, turns AS a, opening, coalesce(lead(struct_pack(c := conv_id, t := turns, o := opening)) OVER w,
+            first(struct_pack(c := conv_id, t := turns, o := opening)) OVER w) AS o
+        FROM dealt WINDOW w AS (PARTITION BY ring ORDER BY opening, place))
 ), pairs AS (
     SELECT conv_id, partner_id, a,
         CASE WHEN other_opening = opening THEN other ELSE list_concat(a[1:len(a) - 1], other[len(other):len(other)]) END AS b
