@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftward.llm.common import cut_lineage
+from siftward.llm.common import cut_lineage, met
 
 
 def stars(links: DataFrame, large: bool) -> DataFrame:
@@ -21,7 +21,7 @@ def stars(links: DataFrame, large: bool) -> DataFrame:
         near = links
     least = near.groupBy("a").agg(F.min("b").alias("m"))
     least = cut_lineage(least.select("a", F.least("a", "m").alias("m")))
-    joined = near.join(least, "a")
+    joined = met(near, least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

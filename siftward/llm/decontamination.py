@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftward.llm.common import byte_slices, raw, table, texts
+from siftward.llm.common import byte_slices, columns_of, free_name, raw, table, texts
 from siftward.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -198,7 +198,7 @@ def with_hits(
     parts = [block_hits(spark, text, b, window) for b in blocks(benchmark, item, item_text, block_bytes)]
     if not parts:
         parts = [block_hits(spark, text, [], window)]
-    names = [f"{column}_{k}" for k in range(len(parts))]
+    names = [free_name(docs, f"{column}_{k}") for k in range(len(parts))]
     out = docs.withColumns(dict(zip(names, parts)))
     if len(parts) == 1:
         spans = F.col(names[0])["spans"]
@@ -235,14 +235,7 @@ def contaminated(found: str) -> Column:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Documents that the rule does not call contaminated, with their columns."""
     name = free_name(docs, "hits")
-    return with_hits(docs, benchmark, name, text).where(~contaminated(name)).select(*[docs[c] for c in docs.columns])
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    return with_hits(docs, benchmark, name, text).where(~contaminated(name)).select(*columns_of(docs))
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:

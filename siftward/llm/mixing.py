@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftward.llm.common import ROW, cut_lineage, keyed, once, table
+from siftward.llm.common import columns_of, cut_lineage, keyed, met, once, table
 
 #: Halvings in one pass, and passes.
 HALVINGS, PASSES = 6, 5
@@ -189,17 +189,16 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     Rows are found by all their columns, so that of rows with one id, or without one, just those taken come; equal rows
     come as often as rows of them were taken.
     """
-    rows = keyed(docs)
-    numbered = cut_lineage(mixed(rows.select("doc_id", "text", "source", *ROW), mix, ROW).select(*ROW, "epoch"))
-    keys = rows.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n"))
-    repeated = cut_lineage(keys.where("n > 1").select(*ROW))
+    rows, key = keyed(docs)
+    taken = cut_lineage(mixed(rows.select("doc_id", "text", "source", *key), mix, key).select(*key))
+    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(keys.where("n > 1").select(*key))
     # As many rows as documents: always by shuffle, also while they are few enough to be broadcast.
     if repeated.isEmpty():
-        return rows.join(numbered.select(*ROW).hint("merge"), ROW).select(*docs.columns)
-    single = rows.join(numbered.join(repeated, ROW, "left_anti").select(*ROW).hint("merge"), ROW)
-    times = numbered.join(repeated, ROW, "left_semi").groupBy(*ROW).agg(F.count(F.lit(1)).cast("int").alias("times"))
-    again = once(rows, repeated).join(times, ROW).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return single.select(*docs.columns).union(again.select(*docs.columns))
+        return met(rows, taken, key).select(*columns_of(docs))
+    single = met(rows, taken.join(repeated, key, "left_anti"), key)
+    again = met(once(rows, key, repeated), taken.join(repeated, key, "left_semi"), key)
+    return single.select(*columns_of(docs)).union(again.select(*columns_of(docs)))
 
 
 #: A mixture of the corpus's size in which no source is passed over more than one and a quarter times.

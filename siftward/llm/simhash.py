@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftward.llm.common import ROW, byte_slices, cut_lineage, keyed, once, raw, table, texts
+from siftward.llm.common import byte_slices, columns_of, cut_lineage, keyed, met, once, raw, table, texts
 from siftward.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -34,8 +34,6 @@ MOST_BITS = 4
 BYTES = 8
 #: Longer posting lists are linked by common near values instead of pairs.
 PAIRED_LIST = 32
-#: Keys of long lists up to this number are broadcast (16 bytes each), beyond it joined by shuffle.
-BROADCAST_KEYS = 1_000_000
 CHUNK_SHINGLES = 1 << 16
 #: Fingerprints of a task that makes 70 postings, or 2081 near values, of each.
 POSTED_ROWS, CROWDED_ROWS = 20_000, 500
@@ -133,19 +131,18 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, paired: int = PAIRED_LI
     lists = cut_lineage(counted.where("n > 1"))
     twos = verified(lists.where("n = 2").select("a", "b"), most_bits)
     more = lists.where("n > 2").select("c", "bytes", "n")
-    n_more = more.count()
-    if not n_more:
+    if more.isEmpty():
         return twos
-    members = cut_lineage(posted.join(F.broadcast(more) if n_more <= BROADCAST_KEYS else more, ["c", "bytes"]))
+    members = cut_lineage(met(posted, more, ["c", "bytes"]))
     short = members.where(F.col("n") <= paired)
     left = short.select("c", "bytes", F.col("fp").alias("a"))
     right = short.select("c", "bytes", F.col("fp").alias("b"))
     # A row meets at most ``paired`` others.
-    pairs = verified(left.join(right, ["c", "bytes"]).where("a < b").select("a", "b"), most_bits)
+    pairs = verified(met(left, right, ["c", "bytes"]).where("a < b").select("a", "b"), most_bits)
     crowded = members.where(F.col("n") > paired).select("fp").distinct()
     values = near_values(spread(cut_lineage(crowded), CROWDED_ROWS), most_bits // 2)
     least = values.groupBy("value").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    starred = values.join(cut_lineage(least.select("value", "m")), "value").where("fp <> m")
+    starred = met(values, cut_lineage(least.select("value", "m")), "value").where("fp <> m")
     return twos.union(pairs).union(starred.select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct())
 
 
@@ -153,7 +150,7 @@ def rooted(prints: DataFrame) -> DataFrame:
     """``fp`` and ``root``, the smallest fingerprint reached by links, of each distinct fingerprint."""
     entries = cut_lineage(prints.select("fp").distinct())
     roots = cut_lineage(components(links(entries)))
-    found = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    found = met(entries, roots.withColumnRenamed("node", "fp"), "fp", "left")
     return cut_lineage(found.select("fp", F.coalesce("root", "fp").alias("root")))
 
 
@@ -165,32 +162,34 @@ def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     prints = cut_lineage(docs.select("doc_id", fingerprint(text).alias("fp")))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = cut_lineage(rooted(prints).join(least, "fp"))
+    known = cut_lineage(met(rooted(prints), least, "fp"))
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut_lineage(known.join(cut_lineage(smallest), "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = cut_lineage(met(known, cut_lineage(smallest), "root").select("fp", "component_id"))
+    return met(prints, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Of each group one row with the smallest id, and one of its rows without id; columns as they are.
+    """Of each group the row with the smallest id, or one of its rows where none has an id; columns as they are.
 
     Rows are told apart by all their columns, so it does not matter whether an id stands on several rows. Which of the
     rows of one id (or without one) stays is decided by a hash; of equal rows it is one.
     """
-    rows = keyed(docs)
-    prints = cut_lineage(rows.select("doc_id", *ROW, F.col("doc_id").isNull().alias("bare"), fingerprint(text).alias("fp")))
-    least = prints.groupBy("fp", "bare").agg(F.min(F.struct("doc_id", *ROW)).alias("least"))
-    known = cut_lineage(least.join(rooted(prints), "fp"))
-    smallest = known.groupBy("root", "bare").agg(F.min("least").alias("kept"))
-    classes = known.join(cut_lineage(smallest), ["root", "bare"]).select("fp", "bare", F.col("kept")[ROW[0]].alias("a"), F.col("kept")[ROW[1]].alias("b"))
-    marked = prints.join(cut_lineage(classes), ["fp", "bare"])
-    stays = (F.col(ROW[0]) == F.col("a")) & (F.col(ROW[1]) == F.col("b"))
-    others = cut_lineage(marked.where(~stays).select(*ROW).distinct())
-    repeated = cut_lineage(marked.where(stays).groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW))
+    rows, key = keyed(docs)
+    bare = F.col("doc_id").isNull().alias("bare")
+    prints = cut_lineage(rows.select(*(F.col(k).alias(n) for k, n in zip(key, "ab")), "doc_id", bare, fingerprint(text).alias("fp")))
+    least = prints.groupBy("fp").agg(F.min(F.struct("bare", "doc_id", "a", "b")).alias("least"))
+    known = cut_lineage(met(least, rooted(prints), "fp"))
+    smallest = known.groupBy("root").agg(F.min("least").alias("kept"))
+    classes = met(known, cut_lineage(smallest), "root").select("fp", "kept.a", "kept.b").toDF("fp", "kept_a", "kept_b")
+    marked = met(prints.select("fp", "a", "b"), cut_lineage(classes), "fp")
+    stays = (F.col("a") == F.col("kept_a")) & (F.col("b") == F.col("kept_b"))
+    others = cut_lineage(marked.where(~stays).select("a", "b").distinct().toDF(*key))
+    repeated = marked.where(stays).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    repeated = cut_lineage(repeated.toDF(*key))
     if repeated.isEmpty():
-        return rows.join(others, ROW, "left_anti").select(*docs.columns)
-    single = rows.join(others.union(repeated), ROW, "left_anti")
-    return single.select(*docs.columns).union(once(rows, repeated).select(*docs.columns))
+        return met(rows, others, key, "left_anti").select(*columns_of(docs))
+    single = met(rows, others.union(repeated), key, "left_anti")
+    return single.select(*columns_of(docs)).union(once(rows, key, repeated).select(*columns_of(docs)))
 
 
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:

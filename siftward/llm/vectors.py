@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from siftward.llm.common import cut_lineage, table
+from siftward.llm.common import cut_lineage, met, table
 from siftward.llm.components import components
 
 LEAST_COSINE = 0.9
@@ -142,11 +142,6 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return cut_lineage(found.withColumn("c", F.monotonically_increasing_id()))
 
 
-def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """A join by shuffle at every size: what a stored table takes in memory is not known from its files."""
-    return left.hint("merge").join(right, on, how)
-
-
 def with_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` with ``cos`` of their vectors (``id``, ``v``)."""
     left = met(pairs, vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")

@@ -25,7 +25,7 @@ def documents(spark):
 
 def test_registered(spark):
     names = set(contract.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in names
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near_duplicates", "benchmark_decontamination", "source_mixture", "token_ids",
