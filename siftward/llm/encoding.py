@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 #: White space by Unicode. A boundary before such a character, where none stands before
@@ -106,6 +107,46 @@ def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
     return stem.lower() if stem.isalpha() else stem, word[len(stem) :]
 
 
+#: First bytes of combining marks, with which lower case does not go letter by letter.
+COMBINING = (b"\xcc", b"\xcd")
+
+
+def added_tokens(definition: str) -> tuple[bytes, ...]:
+    """Lower case of the marker strings that a tokenizer finds before all else."""
+    found = json.loads(definition).get("added_tokens") or []
+    return tuple(sorted(t["content"].encode().lower() for t in found if t.get("content")))
+
+
+#: Kinds of bytes of lower-case texts: what may stand before a stop, stops, what may follow them.
+BEFORE, STOP, AFTER = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = BEFORE
+KINDS[list(STOPS)] = STOP
+KINDS[list(b" \t\n\v\f\r")] = AFTER
+
+
+def is_plain(lower: bytes, added: tuple[bytes, ...]) -> bool:
+    """No marker string, whose case would count, and no combining marks."""
+    return not any(x in lower for x in COMBINING) and not any(x in lower for x in added)
+
+
+def stems_and_tails(lower: list[bytes]) -> list[list[bytes]]:
+    """What ``stem_and_tail`` gives for all words of plain lower-case texts, one after another.
+
+    A blank is set before each run of stops that stands behind a letter or digit and ends a word, in all texts at once.
+    """
+    whole = np.frombuffer(b"\n".join(lower) + b"\n", np.uint8)
+    kind = KINDS[whole]
+    stop = kind == STOP
+    first = np.flatnonzero(stop[1:] & (kind[:-1] == BEFORE)) + 1
+    last = np.flatnonzero(stop[:-1] & ~stop[1:])
+    cut = first[kind[last[np.searchsorted(last, first)] + 1] == AFTER] if len(first) else first
+    spaced = np.insert(whole, cut, 32).tobytes()
+    ends = np.cumsum([len(x) + 1 for x in lower])
+    ends += np.searchsorted(cut, ends)
+    return [spaced[a:b].split() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def is_one_word(piece: bytes) -> bool:
     """Whether a piece has nothing but letters, of scripts whose lower case is one letter each."""
     if piece.isalpha():

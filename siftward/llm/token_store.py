@@ -28,11 +28,14 @@ from siftward.llm.elias_fano import EliasFano
 from siftward.llm.encoding import (
     CHUNK,
     Cache,
+    added_tokens,
     chunks,
     drops_blanks,
     for_worker,
     is_one_word,
+    is_plain,
     stem_and_tail,
+    stems_and_tails,
     vocabulary,
     word_end,
 )
@@ -55,12 +58,15 @@ LINE = 64
 class Encoder:
     """Ids of whole texts as bytes; words are encoded once each where white space leaves no token.
 
-    Words are looked up as they stand, and where new as stem and stops, so that case and stops cost no further
-    encoding. New plain words go to the tokenizer in lines, which are cut at the tokens that end a word.
+    A text is taken apart into stems and stops in one go, so that case and stops cost no further encoding; the words
+    of an odd text are looked at one by one. New plain words go to the tokenizer in lines, which are cut at the tokens
+    that end a word.
     """
 
-    def __init__(self, encoder, split: bool, end: str | None = None, cache: tuple[int, int] = CACHE):
-        self.encoder, self.split = encoder, split
+    def __init__(
+        self, encoder, split: bool, end: str | None = None, cache: tuple[int, int] = CACHE, added: tuple[bytes, ...] = ()
+    ):
+        self.encoder, self.split, self.added = encoder, split, added
         size = encoder.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = None
@@ -107,9 +113,20 @@ class Encoder:
 
     def by_word(self, batch: list[bytes]) -> list[bytes]:
         # Only ASCII white space cuts: it is white space for any pattern.
-        parts = [text.split() for text in batch]
-        known = self.words.of(set().union(*parts))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        lower = [text.lower() for text in batch]
+        plain = [k for k, text in enumerate(lower) if is_plain(text, self.added)]
+        out = [b""] * len(batch)
+        parts = stems_and_tails([lower[k] for k in plain])
+        known = self.stems.of(set().union(*parts))
+        for k, part in zip(plain, parts):
+            out[k] = b"".join(map(known.__getitem__, part))
+        if len(plain) < len(batch):
+            odd = sorted(set(range(len(batch))).difference(plain))
+            words = [batch[k].split() for k in odd]
+            known = self.words.of(set().union(*words))
+            for k, part in zip(odd, words):
+                out[k] = b"".join(map(known.__getitem__, part))
+        return out
 
 
 class Shard:
@@ -210,7 +227,7 @@ def write_shards(
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
     source = vocabulary(spark, path)
-    split, mark = drops_blanks(source.value), word_end(source.value)
+    split, mark, added = drops_blanks(source.value), word_end(source.value), added_tokens(source.value)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -218,7 +235,7 @@ def write_shards(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = for_worker(source, Encoder, split, mark, cache)
+        encoder = for_worker(source, Encoder, split, mark, cache, added)
         end = np.array([end_id], encoder.kind).tobytes()
         store, base = file_system(folder)
         store.create_dir(base, recursive=True)
