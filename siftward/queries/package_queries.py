@@ -11,6 +11,7 @@ from siftward.functions.risk import rule_features
 from siftward.functions.text import text_features
 from siftward.operators.labels import name_sample
 from siftward.operators.metadata import distinct_values
+from siftward.operators.nearest import nearest_known
 from siftward.operators.popularity import dependent_counts, download_counts
 from siftward.operators.releases import (
     distributions_of_latest,
@@ -83,6 +84,19 @@ def _(t):
     )
 
 
+@query(
+    "nearest_names",
+    """WITH n AS (SELECT DISTINCT lower(name) AS name FROM part_names)
+    SELECT a.name, b.nearest, b.distance FROM n a LEFT JOIN (
+      SELECT x.name, y.name AS nearest, levenshtein(x.name, y.name) AS distance FROM n x JOIN n y
+        ON x.name <> y.name AND abs(length(x.name) - length(y.name)) <= 3 AND levenshtein(x.name, y.name) <= 3
+      QUALIFY row_number() OVER (PARTITION BY x.name ORDER BY distance, y.name) = 1) b USING (name)""",
+    ("part_names",),
+)
+def _(t):
+    return nearest_known(t.part_names, t.part_names, 3, itself=False)
+
+
 def sql_set(column):
     return f"""coalesce(array_to_string(list_sort(list(DISTINCT {column})
         FILTER ({column} IS NOT NULL)), '|'), '')"""
