@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType, StringType, StructType
 
@@ -9,7 +10,10 @@ from siftward import config
 from siftward.functions.cleaning import as_flag, one_line, parsed_list
 from siftward.functions.common import as_column
 from siftward.operators.popularity import downloads_since
-from siftward.sources import schemas
+from siftward.sources import commits, schemas
+
+#: Names the folder of the stages published last.
+LATEST = "latest"
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -27,7 +31,19 @@ def read_downloads(spark: SparkSession, path: str, since: datetime | None = None
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.LABELS)
+    """Labels of the table's last commit; of a table without commits, all its files."""
+    return read_label_parts(spark, path, commits.state(spark, path)[1])
+
+
+def read_label_parts(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schemas.LABELS)
+    return spark.read.schema(schemas.LABELS).parquet(*(f"{path}/{part}" for part in parts))
+
+
+def read_latest_stages(spark: SparkSession, folder: str) -> PipelineModel:
+    """The fitted stages that ``save_stages`` published last."""
+    return PipelineModel.load(f"{folder}/{commits.pointed(spark, f'{folder}/{LATEST}')}")
 
 
 def repaired(rows: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Writing features, labels, name lists, scan records and fitted stages."""
 
 from datetime import datetime
+from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from siftward.operators.labels import not_listed
-from siftward.sources.readers import read_labels
+from siftward.session import cut_lineage
+from siftward.sources import commits
+from siftward.sources.readers import LATEST, read_label_parts
 
 
 def write_features(rows: DataFrame, path: str) -> None:
@@ -16,17 +18,24 @@ def write_features(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def append_labels(mined: DataFrame, path: str) -> None:
-    """Add mined packages to the label table, except those it has already; repeated rows are added once."""
+def append_labels(mined: DataFrame, path: str, attempts: int = 20) -> None:
+    """Add mined packages to the label table, except those it has already; repeated rows are added once.
+
+    Several writers may append at once: each commits on the state it has compared with, and if another was faster
+    compares again.
+    """
     spark = mined.sparkSession
-    labels = mined.select("package_name", F.col("is_spam").cast("long").alias("is_spam")).distinct()
-    try:
-        labels = not_listed(labels, "package_name", read_labels(spark, path), "package_name")
-    except AnalysisException as error:
-        # The first append creates the table.
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    labels.write.mode("append").parquet(path)
+    labels = cut_lineage(mined.select("package_name", F.col("is_spam").cast("long").alias("is_spam")).distinct())
+    for _ in range(attempts):
+        number, parts = commits.state(spark, path)
+        fresh = labels
+        if parts:
+            fresh = not_listed(labels, "package_name", read_label_parts(spark, path, parts), "package_name")
+        part = f"part-{uuid4().hex}"
+        fresh.write.parquet(f"{path}/{part}")
+        if commits.commit(spark, path, number + 1, [*parts, part]):
+            return
+    raise RuntimeError(f"{path}: other writers were faster {attempts} times")
 
 
 def write_names(names: DataFrame, path: str) -> None:
@@ -58,9 +67,16 @@ def json_record(rows: DataFrame) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def save_stages(model: PipelineModel, folder: str, moment: datetime) -> list[str]:
-    """Save fitted stages under their time and as the latest."""
-    paths = [f"{folder}/{moment:%Y%m%d_%H%M%S}", f"{folder}/latest"]
-    for path in paths:
-        model.write().overwrite().save(path)
-    return paths
+def save_stages(model: PipelineModel, folder: str, moment: datetime) -> str:
+    """Save fitted stages under their time, read them back, and only then let the pointer to the latest name them.
+
+    Whatever fails on the way, the stages published before stay the latest and readable.
+    """
+    spark = SparkSession.active()
+    name = f"{moment:%Y%m%d_%H%M%S}-{uuid4().hex[:8]}"
+    model.write().save(f"{folder}/{name}")
+    read_back = PipelineModel.load(f"{folder}/{name}")
+    if len(read_back.stages) != len(model.stages):
+        raise RuntimeError(f"{folder}/{name}: {len(read_back.stages)} of {len(model.stages)} stages were saved")
+    commits.point(spark, f"{folder}/{LATEST}", name)
+    return f"{folder}/{name}"

@@ -1,14 +1,17 @@
 """Files in and files out."""
 
 import json
-from datetime import datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
+from siftward.operators.popularity import download_counts
 from siftward.plans.mining import known_spam_names
+from siftward.sources import commits, download_log
 from siftward.sources.readers import (
     archive_package,
     names_in_listing,
@@ -17,6 +20,7 @@ from siftward.sources.readers import (
     read_features,
     read_finished_features,
     read_labels,
+    read_latest_stages,
     read_listing,
     read_manifests,
 )
@@ -154,10 +158,115 @@ def test_appending_repeats_and_unknown_errors(spark, tmp_path):
     assert sorted(tuple(r) for r in read_labels(spark, str(tmp_path / "labels")).collect()) == [("a", 1), ("b", 0)]
 
 
+def test_interleaved_appends_leave_each_name_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "labels")
+    rows = lambda *names: spark.createDataFrame([(n, 1) for n in names], "package_name string, is_spam int")
+    append_labels(rows("a"), path)
+    commit, calls = commits.commit, []
+
+    def slow(*arguments):
+        # Another writer commits between this one's look and its commit.
+        calls.append(arguments[2])
+        if len(calls) == 1:
+            append_labels(rows("b", "c"), path)
+        return commit(*arguments)
+
+    monkeypatch.setattr(commits, "commit", slow)
+    append_labels(rows("c", "d", "a"), path)
+    append_labels(rows("c", "d"), path)
+    assert sorted(r["package_name"] for r in read_labels(spark, path).collect()) == ["a", "b", "c", "d"]
+    assert calls == [2, 2, 3, 4] and commits.state(spark, path)[0] == 4
+
+
+def test_part_of_a_lost_writer_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    rows = spark.createDataFrame([("a", 1)], "package_name string, is_spam long")
+    append_labels(rows, path)
+    rows.write.parquet(f"{path}/part-lost")
+    assert read_labels(spark, path).count() == 1 and not commits.commit(spark, path, 1, ["part-lost"])
+    assert read_labels(spark, path).count() == 1
+
+
+def test_appending_to_a_table_without_commits(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    spark.createDataFrame([("a", 1), ("b", 0)], "package_name string, is_spam long").write.parquet(path)
+    append_labels(spark.createDataFrame([("b", 1), ("c", 1)], "package_name string, is_spam int"), path)
+    assert sorted(map(tuple, read_labels(spark, path).collect())) == [("a", 1), ("b", 0), ("c", 1)]
+
+
+def adds(number):
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, x + {number} AS y FROM __THIS__")])
+
+
 def test_save_stages(spark, tmp_path):
-    model = PipelineModel([SQLTransformer(statement="SELECT *, x + 1 AS y FROM __THIS__")])
-    paths = save_stages(model, str(tmp_path), datetime(2024, 1, 2, 3, 4, 5))
-    assert [p.rsplit("/", 1)[1] for p in paths] == ["20240102_030405", "latest"]
     frame = spark.range(1).select(F.col("id").alias("x"))
-    for path in paths:
-        assert PipelineModel.load(path).transform(frame).first()["y"] == 1
+    path = save_stages(adds(1), str(tmp_path), datetime(2024, 1, 2, 3, 4, 5))
+    assert path.rsplit("/", 1)[1].startswith("20240102_030405")
+    assert PipelineModel.load(path).transform(frame).first()["y"] == 1
+    save_stages(adds(2), str(tmp_path), datetime(2024, 1, 2, 3, 4, 5))
+    assert read_latest_stages(spark, str(tmp_path)).transform(frame).first()["y"] == 2
+
+
+@pytest.mark.parametrize("step", ["_written", "_rename"])
+def test_failed_publishing_leaves_the_old_stages(spark, tmp_path, monkeypatch, step):
+    frame = spark.range(1).select(F.col("id").alias("x"))
+    save_stages(adds(1), str(tmp_path), datetime(2024, 1, 2))
+
+    def fails(*_, **__):
+        raise OSError("lost")
+
+    monkeypatch.setattr(commits, step, fails)
+    with pytest.raises(OSError):
+        save_stages(adds(2), str(tmp_path), datetime(2024, 1, 3))
+    assert read_latest_stages(spark, str(tmp_path)).transform(frame).first()["y"] == 1
+
+
+# --- download log ----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def log_rows():
+    draw = random.Random(3)
+    start = datetime(2024, 3, 1)
+    rows = [(start + timedelta(minutes=draw.randrange(45 * 24 * 60)), (draw.choice("abcd"),)) for _ in range(3000)]
+    # A third of all rows on one day, and some without a moment or a name.
+    rows += [(datetime(2024, 4, 2, 5), ("hot",))] * 1500 + [(None, ("a",)), (datetime(2024, 4, 3), (None,))]
+    return rows
+
+
+LOG = "timestamp timestamp, file struct<project:string>"
+
+
+def test_windows_from_daily_counts(spark, tmp_path, log_rows):
+    raw = spark.createDataFrame(log_rows, LOG)
+    log, daily = str(tmp_path / "log"), str(tmp_path / "daily")
+    download_log.store_log(raw, log)
+    download_log.store_daily(spark, log, daily)
+    for as_of in (datetime(2024, 4, 9, 13, 30), datetime(2024, 4, 10), datetime(2024, 4, 30, 23, 59)):
+        got = download_log.window_counts(spark, log, daily, as_of)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, download_counts(raw, as_of).collect()), key=repr)
+
+
+def test_log_is_pruned_by_date(spark, tmp_path, log_rows):
+    raw = spark.createDataFrame(log_rows, LOG)
+    log, daily = str(tmp_path / "log"), str(tmp_path / "daily")
+    download_log.store_log(raw, log)
+    download_log.store_daily(spark, log, daily)
+    counts = download_log.window_counts(spark, log, daily, datetime(2024, 4, 9, 12))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == 2 and all("PartitionFilters: [isnotnull(date" in s for s in scans)
+    # The next day: one day of the log is read, and its counts replace nothing else.
+    day = [date(2024, 4, 2)]
+    one = download_log.read_log(spark, log, day)
+    assert one.count() == sum(t is not None and t.date() == day[0] for t, _ in log_rows)
+    more = spark.createDataFrame([(datetime(2024, 5, 1, 1), ("a",))] * 3, LOG)
+    download_log.store_log(more, log)
+    download_log.store_daily(spark, log, daily, [date(2024, 5, 1)])
+    stored = spark.read.schema(download_log.DAILY).parquet(daily)
+    assert stored.where("date = '2024-05-01'").collect()[0]["n"] == 3
+    assert stored.agg(F.sum("n")).first()[0] == sum(t is not None for t, _ in log_rows) + 3
+    # A day that is delivered again is counted once.
+    download_log.store_log(more, log)
+    download_log.store_daily(spark, log, daily, [date(2024, 5, 1)])
+    assert spark.read.schema(download_log.DAILY).parquet(daily).where("date = '2024-05-01'").first()["n"] == 3
