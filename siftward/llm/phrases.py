@@ -35,6 +35,8 @@ LEAST_COUNT = 10
 #: A candidate inside a longer one that has at least this share (per cent) of its occurrences is dropped.
 CONTAINED_PERCENT = 50
 TOP = 2000
+#: Parts of a language whose best phrases are found apart.
+TOP_PARTS = 16
 MILLION = 1_000_000
 UNKNOWN = "und"
 #: One document in so many is in the sample, which takes for frequent what occurs so often in it.
@@ -42,7 +44,7 @@ SAMPLE_ONE_IN, SAMPLE_COUNT = 8, 2
 #: Size of a filter, 8 MiB, sent to each executor; bits set for a phrase.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 2
 #: Text taken at once in a task, and phrases of it spelt out at once.
-BATCH_BYTES, GIVEN_OUT = 4 << 20, 50_000
+BATCH_BYTES, GIVEN_OUT = 3 << 20, 50_000
 
 #: Lower case for A-Z, a line feed for all that ends a piece, a blank for a tab.
 PIECE_BYTES = bytes(
@@ -342,9 +344,13 @@ def collocations(
     kept = scored.join(longest, ["lang", "phrase"], "left").where(
         (F.col("size") == LONGEST) | F.col("longer").isNull() | (100 * F.col("longer") < contained * F.col("a"))
     )
-    # A limit on the rank is applied in every task before rows of a language meet.
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of each part of a language first, so that few rows of it meet in one task, however many parts came before.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    parted = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)))
+    for key in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        parted = parted.withColumn("rank", place).where(F.col("rank") <= top)
+    best = parted
     return best.join(totals, "lang").select(
         F.col("lang").cast("string").alias("lang"), F.col("rank").cast("long").alias("rank"),
         F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score",
