@@ -36,6 +36,16 @@ def downloads_in_30_days(downloads: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+def requirement_pairs(dist: DataFrame) -> DataFrame:
+    """Which package requires which name in any release, each pair once."""
+    required = F.array_distinct(F.transform(text_list("requires_dist"), required_name))
+    return (
+        dist.select(F.col("name").alias("dependent"), F.explode(required).alias("pkg_name"))
+        .filter("pkg_name is not null")
+        .distinct()
+    )
+
+
 def dependent_counts(dist: DataFrame, dependents: Scope | None = None) -> DataFrame:
     """How many packages require each name in any release.
 
@@ -43,12 +53,11 @@ def dependent_counts(dist: DataFrame, dependents: Scope | None = None) -> DataFr
     its early step. Pairs are made distinct on
     both columns before counting, so a name everyone requires stays spread out.
     """
-    required = F.array_distinct(F.transform(text_list("requires_dist"), required_name))
-    pairs = (
-        dist.select(F.col("name").alias("dependent"), F.explode(required).alias("pkg_name"))
-        .filter("pkg_name is not null")
-        .distinct()
-    )
+    return counted_dependents(requirement_pairs(dist), dependents)
+
+
+def counted_dependents(pairs: DataFrame, dependents: Scope | None = None) -> DataFrame:
+    """The same from the pairs of ``requirement_pairs``."""
     if dependents is not None:
         pairs = dependents.late(pairs, "dependent")
     return pairs.groupBy("pkg_name").agg(F.count("dependent").alias("n_dependents_est"))

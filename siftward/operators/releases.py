@@ -85,18 +85,27 @@ def distributions_of_latest(
     )
 
 
+def upload_days(dist: DataFrame) -> DataFrame:
+    """How many uploads each package has on a day."""
+    return (
+        dist.filter(F.col("upload_time").isNotNull())
+        .groupBy("name", F.to_date("upload_time").alias("day"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def median_gap(dist: DataFrame) -> DataFrame:
-    """Lower median of the calendar days between consecutive uploads.
+    """Lower median of the calendar days between consecutive uploads."""
+    return median_gap_of_days(upload_days(dist))
+
+
+def median_gap_of_days(days: DataFrame) -> DataFrame:
+    """The same from the counts of ``upload_days``.
 
     Uploads on one day are zero days apart, so a day with n uploads adds n - 1
     zeros and one step from the day before. Counting per day first bounds the
     window of a package by the calendar instead of by its uploads.
     """
-    days = (
-        dist.filter(F.col("upload_time").isNotNull())
-        .groupBy("name", F.to_date("upload_time").alias("day"))
-        .agg(F.count("*").alias("n"))
-    )
     by_day = Window.partitionBy("name").orderBy("day")
     steps = days.select(
         "name",

@@ -50,18 +50,36 @@ def feature_rows(
     """
     scope = Scope(names) if names is not None else None
     listed = scope.early(dist) if scope else dist
-    releases = release_profile(version_files(listed))
+    if dependents_scope == "all":
+        dependents = dependent_counts(dist)
+    else:
+        dependents = dependent_counts(listed, scope)
+    # The log is the largest table: a short list drops other packages before any shuffle.
+    log = scope.early(downloads, "file.project") if scope else downloads
+    return wide_rows(
+        package_profile(listed, order), version_files(listed), median_gap(listed), dependents, log, scope, as_of
+    )
+
+
+def wide_rows(
+    profile: DataFrame,
+    files: DataFrame,
+    gaps: DataFrame,
+    dependents: DataFrame,
+    log: DataFrame,
+    scope: Scope | None,
+    as_of: datetime,
+) -> DataFrame:
+    """Feature rows from what is known of each package and version; the log has been through the scope's early step."""
     # A package without any dated upload has no row.
-    dated = releases.filter(F.col("last_upload").isNotNull()).select(
+    dated = release_profile(files).filter(F.col("last_upload").isNotNull()).select(
         "name",
         "first_upload",
         "last_upload",
         "version_files",
         *_named(timing_features(as_of)),
     )
-    profile = (
-        package_profile(listed, order).join(dated, "name").join(median_gap(listed), "name", "left")
-    )
+    profile = profile.join(dated, "name").join(gaps, "name", "left")
     if scope:
         profile = scope.late(profile)
     surface = link_surface("latest.home_page", "latest.project_urls", "latest.download_url")
@@ -83,13 +101,7 @@ def feature_rows(
         F.col("latest.project_urls").alias("latest_project_urls"),
         F.col("latest.requires_dist").alias("latest_dependencies"),
     )
-    if dependents_scope == "all":
-        dependents = dependent_counts(dist)
-    else:
-        dependents = dependent_counts(listed, scope)
     rules = rule_features("has_repo_url", "n_desc_len", "has_suspicious_kw")
-    # The log is the largest table: a short list drops other packages before any shuffle.
-    log = scope.early(downloads, "file.project") if scope else downloads
     return (
         described.join(download_counts(log, as_of), "pkg_name", "left")
         .join(dependents, "pkg_name", "left")
