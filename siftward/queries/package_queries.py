@@ -151,10 +151,10 @@ def sql_text(summary, description):
 
 @query(
     "text_features",
-    f"SELECT doc_id, {sql_text('substr(text, 1, 60)', 'text')} FROM documents",
+    f"SELECT doc_id, {sql_text('split_part(text, chr(10), 1)', 'text')} FROM documents",
 )
 def _(t):
-    summary = F.substring("text", 1, 60)
+    summary = F.split_part("text", F.lit("\n"), F.lit(1))
     return t.documents.select("doc_id", *columns(text_features(summary, "text")))
 
 
