@@ -25,6 +25,7 @@ from siftward.models.encode import encoder, feature_places
 from siftward.models.evaluate import accuracy, recall, roc_auc, roc_points
 from siftward.models.pruning import accuracies, pruned_model, pruning_of
 from siftward.models.split import in_folds, stratified_split
+from siftward.models.staged import prefix_accuracies
 from siftward.session import cut_lineage
 
 SEED = 42
@@ -270,19 +271,42 @@ def tune_forest(encoded: DataFrame, budget: Budget = Budget()) -> Search:
     return _searched(forest, grid, encoded, budget.forest_folds, budget.parallelism)
 
 
-def tune_boosting(encoded: DataFrame, budget: Budget = Budget()) -> Search:
-    """Random search over rounds, step and depth, refitted on all rows."""
-    boosting = _boosting()
+def tune_boosting(encoded: DataFrame, budget: Budget = Budget(), key: str = "pkg_name") -> Search:
+    """Random search over step and depth, with every number of rounds up to the drawn one; refitted on all rows.
+
+    One fit a draw and fold judges all its numbers of rounds; folds are fitted side by side.
+    """
     draw = random.Random(SEED)
-    grid = [
-        {
-            boosting.maxIter: draw.randint(*budget.boosting_rounds),
-            boosting.stepSize: draw.uniform(*budget.boosting_steps),
-            boosting.maxDepth: draw.randint(*budget.boosting_depths),
-        }
+    draws = [
+        (
+            draw.randint(*budget.boosting_rounds),
+            draw.uniform(*budget.boosting_steps),
+            draw.randint(*budget.boosting_depths),
+        )
         for _ in range(budget.boosting_draws)
     ]
-    return _searched(boosting, grid, encoded, budget.boosting_folds, budget.parallelism)
+    folded = in_folds(encoded, key, budget.boosting_folds, SEED)
+    least = budget.boosting_rounds[0]
+
+    def judged(task: tuple[int, int]) -> list[tuple[int, int, float]]:
+        number, fold = task
+        rounds, step, depth = draws[number]
+        stage = _boosting().setParams(maxIter=rounds, stepSize=step, maxDepth=depth)
+        model = stage.fit(folded.where(F.col("fold") != fold))
+        held = prefix_accuracies(model, folded.where(F.col("fold") == fold))
+        found = held.where(F.col("rounds") >= least).collect()
+        return [(number, r["rounds"], r["n_right"] / r["n_rows"]) for r in found]
+
+    shares = defaultdict(list)
+    tasks = [(d, f) for d in range(len(draws)) for f in range(budget.boosting_folds)]
+    with ThreadPool(budget.parallelism) as pool:
+        for rows in pool.imap(judged, tasks):
+            for number, rounds, share in rows:
+                shares[number, rounds].append(share)
+    settings = [{"maxIter": m, "stepSize": draws[d][1], "maxDepth": draws[d][2]} for d, m in sorted(shares)]
+    scores = [sum(shares[k]) / len(shares[k]) for k in sorted(shares)]
+    found = Search(settings, scores, None)
+    return Search(settings, scores, _boosting().setParams(**settings[found.best]).fit(encoded))
 
 
 def best_setting(search: Search) -> tuple[dict, float]:

@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from siftward.models import pruning
 from siftward.models.pruning import Tree, weakest_links
+from siftward.models.staged import prefix_accuracies
 
 
 def random_tree(seed, depth=4):
@@ -90,3 +91,13 @@ def test_node_table_states_the_tree(fitted):
     assert nodes[0]["impurity"] == pytest.approx(2 * p * (1 - p))
     path = pruning.path_rows(rows.sparkSession, pruning.pruning_of(model)).orderBy("step").collect()
     assert path[-1]["n_leaves"] == 1 and path[-1]["cost"] == pytest.approx(2 * p * (1 - p))
+
+
+def test_prefixes_equal_fits_of_fewer_rounds(fitted):
+    rows, _ = fitted
+    stage = GBTClassifier(maxDepth=3, stepSize=0.2, seed=3)
+    got = {r["rounds"]: (r["n_rows"], r["n_right"]) for r in prefix_accuracies(stage.setParams(maxIter=6).fit(rows), rows).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    for rounds in (1, 3, 6):
+        model = stage.setParams(maxIter=rounds).fit(rows)
+        assert got[rounds] == (600, model.transform(rows).where("label = prediction").count())
