@@ -249,3 +249,34 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         contaminated("found").alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+#: Words of a text from 1; phrases are compared as texts of words with one blank between them.
+ORACLE = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_SQL_WORDS} AS w FROM benchmark),
+phrases AS MATERIALIZED (
+    SELECT DISTINCT item, size, array_to_string(w[s:s + size - 1], ' ') AS phrase FROM (
+        SELECT item, w, least({WINDOW}, len(w)) AS size, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS s
+        FROM items WHERE len(w) > 0)
+),
+starts AS (
+    SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM docs, (SELECT DISTINCT size FROM phrases)
+    WHERE len(w) >= size
+),
+hits AS MATERIALIZED (
+    SELECT r, s, p.size, item FROM (SELECT r, s, size, array_to_string(w[s:s + size - 1], ' ') AS phrase FROM starts) d
+    JOIN phrases p ON p.size = d.size AND p.phrase = d.phrase
+),
+covered AS (
+    SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS place FROM hits) GROUP BY r
+),
+found AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""

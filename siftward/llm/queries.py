@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftward.llm.decontamination import ORACLE as DECONTAMINATION_ORACLE
 from siftward.llm.decontamination import op6_decontamination
 from siftward.llm.mixing import ORACLE as MIXING_ORACLE
 from siftward.llm.mixing import op2_mixing
@@ -17,6 +18,7 @@ from siftward.llm.quality import op10_quality_rules
 from siftward.llm.resampling import ORACLE as RESAMPLING_ORACLE
 from siftward.llm.resampling import op12_resampling
 from siftward.llm.simhash import op3_simhash
+from siftward.llm.substring_dedup import ORACLE as SUBSTRING_ORACLE
 from siftward.llm.substring_dedup import op5_substring_dedup
 from siftward.llm.token_counts import op1_token_counts
 from siftward.llm.token_store import op9_token_store
@@ -44,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": MIXING_ORACLE,
+    "op5_substring_dedup": SUBSTRING_ORACLE,
+    "op6_decontamination": DECONTAMINATION_ORACLE,
     "op7_preferences": PREFERENCES_ORACLE,
     "op8_warc": WARC_ORACLE,
     "op11_vectors": VECTORS_ORACLE,

@@ -368,3 +368,28 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, b
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+#: Windows as texts of words with one blank between them; the document a window first stands in by its smallest id.
+ORACLE = r"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS MATERIALIZED (
+    SELECT r, doc_id, s, sha256(array_to_string(w[s:s + 12], ' ')) AS said FROM (
+        SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM docs WHERE len(w) > 12)
+),
+first AS (SELECT said, min(doc_id) AS owner FROM windows GROUP BY said),
+gone AS (
+    SELECT r, list(DISTINCT place) AS places FROM (
+        SELECT r, unnest(range(s, s + 13)) AS place FROM windows JOIN first USING (said) WHERE owner < doc_id)
+    GROUP BY r
+),
+left_over AS (
+    SELECT doc_id, w, coalesce(len(places), 0) AS n,
+        CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)),
+            lambda i: w[i]) END AS kept
+    FROM docs LEFT JOIN gone USING (r)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM left_over
+"""
