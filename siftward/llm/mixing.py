@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftward.llm.common import columns_of, cut_lineage, keyed, met, once, table
+from siftward.llm.common import columns_of, cut_lineage, free_name, keyed, met, once, table
 
 #: Halvings in one pass, and passes.
 HALVINGS, PASSES = 6, 5
@@ -205,14 +205,22 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 MIX = Mix(repeats=1.25)
 
 
+def mixture(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``mixed`` with rows without id dealt to blocks, and ordered in them, by their texts: there may be many of them."""
+    tie = free_name(docs, "tie")
+    told = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return mixed(docs.withColumn(tie, told), mix, [tie]).drop(tie)
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed(table(spark, folder, "documents"), MIX)
+    return mixture(table(spark, folder, "documents"), MIX)
 
 
 ORACLE = r"""
 WITH RECURSIVE docs AS (
     SELECT doc_id, coalesce(source, '') AS source,
-        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+        CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS tie
     FROM documents
 ), sources AS (
     SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM docs GROUP BY source
@@ -238,8 +246,8 @@ WITH RECURSIVE docs AS (
         CAST(least(4096, greatest(1, ceil(n_tokens / 20000))) AS BIGINT) AS n_blocks
     FROM shares, power, total
 ), dealt AS (
-    SELECT doc_id, source, docs.n_tokens, plan.n_tokens AS source_tokens, budget, CAST(budget // plan.n_tokens AS INT) AS whole,
-        CAST('0x' || substr(md5('17-block|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) % n_blocks AS block
+    SELECT doc_id, tie, source, docs.n_tokens, plan.n_tokens AS source_tokens, budget, CAST(budget // plan.n_tokens AS INT) AS whole,
+        CAST('0x' || substr(md5('17-block|' || coalesce(CAST(doc_id AS VARCHAR), tie)), 1, 12) AS BIGINT) % n_blocks AS block
     FROM docs JOIN plan USING (source) WHERE budget > 0
 ), blocks AS (
     SELECT source, block, epoch, max(whole) AS whole, max(budget) AS budget, max(source_tokens) AS source_tokens,
@@ -257,10 +265,10 @@ WITH RECURSIVE docs AS (
     SELECT doc_id, source, n_tokens, epoch, slot, room, block_tokens, row_number() OVER w - 1 AS rank,
         sum(n_tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS before
     FROM (
-        SELECT dealt.doc_id, source, dealt.n_tokens, epoch, slot, room, block_tokens,
+        SELECT dealt.doc_id, tie, source, dealt.n_tokens, epoch, slot, room, block_tokens,
             md5('17-rank|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || epoch) AS ord, block
         FROM dealt JOIN taken USING (source, block)
-    ) WINDOW w AS (PARTITION BY source, block, epoch ORDER BY ord, doc_id NULLS FIRST, n_tokens)
+    ) WINDOW w AS (PARTITION BY source, block, epoch ORDER BY ord, doc_id NULLS FIRST, n_tokens, tie NULLS FIRST)
 )
 SELECT doc_id, source, n_tokens, CAST(epoch AS INT) AS epoch, CAST(slot AS INT) AS slot, CAST(rank AS INT) AS rank
 FROM ranked WHERE room >= block_tokens OR before < room

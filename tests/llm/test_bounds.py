@@ -128,3 +128,19 @@ def test_mixture_takes_rows_without_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times int")
     out = mixing.mixed_documents(docs, mixing.Mix(repeats=2.0)).collect()
     assert len(out) == 70 and len({r.text for r in out}) == 51
+
+
+def test_rows_without_id_are_dealt_to_blocks_as_the_statement_says(spark, tmp_path):
+    rows = [(None if k % 3 == 0 else k, " ".join(["w"] * (k % 400)) + f" {k}", f"s{k % 2}") for k in range(900)]
+    rows += [(None, "same text", "s0")] * 5 + [(None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(frame, mixing.MIX)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    result = db.execute(mixing.ORACLE)
+    columns = [d[0] for d in result.description]
+    expected = sorted(map(repr, result.fetchall()))
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == expected
+    # Not all in one block.
+    assert got.where("doc_id is null and source = 's0'").select("slot").distinct().count() > 1
