@@ -100,16 +100,25 @@ def formatted(pairs: DataFrame, trained: str = TRAINED) -> DataFrame:
     return parts.drop("chosen", "rejected")
 
 
-def paired(turns: DataFrame, trained: str = TRAINED, ring: int = RING, seed: int = SEED) -> DataFrame:
+def unanswered(whole: DataFrame, trained: str = TRAINED) -> DataFrame:
+    """Gathered conversations without an answer, as pairs with nothing rejected and no partner."""
+    none = ~F.exists("turns", lambda t: t["role"] == trained)
+    partner = F.lit(None).cast(whole.schema["conv_id"].dataType)
+    return whole.where(none).select("conv_id", partner.alias("partner_id"), F.col("turns").alias("chosen"), F.array().cast(TURNS).alias("rejected"))
+
+
+def paired(
+    turns: DataFrame, trained: str = TRAINED, ring: int = RING, seed: int = SEED, whole: DataFrame | None = None
+) -> DataFrame:
     """Pairs from conversations that have no ranked answers: conv_id, partner_id, chosen, rejected.
 
     Chosen is a conversation up to its last answer (turn of the trained role); one without answers makes no pair.
     Its counterpart is the next conversation, by first turn and hash, in a ring of about ``ring`` dealt by a hash.
     Rejected is the counterpart itself where both open with the same turn, else the same turns with its
     last answer instead. Alone in its ring, a conversation is its own counterpart. Conversations without key are dealt
-    by their text.
+    by their text. ``whole`` are the gathered conversations, where they are known.
     """
-    whole = gathered(turns)
+    whole = gathered(turns) if whole is None else whole
     answers = F.transform(F.col("turns"), lambda t: t["role"] == trained)
     last = F.size("turns") - F.array_position(F.reverse(answers), True) + 1
     cut = whole.where(F.array_contains(answers, True)).withColumn("turns", F.slice("turns", 1, last.cast("int")))
@@ -135,7 +144,10 @@ def paired(turns: DataFrame, trained: str = TRAINED, ring: int = RING, seed: int
 
 
 def op7_preferences(spark: SparkSession, folder: str) -> DataFrame:
-    return formatted(paired(table(spark, folder, "conversations")))
+    """All conversations: those without an answer have nothing rejected."""
+    turns = table(spark, folder, "conversations")
+    whole = cut_lineage(gathered(turns))
+    return formatted(paired(turns, whole=whole).unionByName(unanswered(whole)))
 
 
 def _sql_text(turns: str) -> str:
@@ -183,6 +195,8 @@ WITH clean AS (
     FROM pairs
 ), parts AS (
     SELECT conv_id, partner_id, n, a[1:n] AS p, a[n + 1:len(a)] AS c, b[n + 1:len(b)] AS d FROM split
+    UNION ALL
+    SELECT conv_id, NULL, 0, turns[1:0], turns, turns[1:0] FROM whole WHERE len(list_filter(turns, lambda t: t.r = '{TRAINED}')) = 0
 )
 SELECT conv_id, partner_id, CAST(n AS INT) AS n_prompt_turns, {_sql_text("p")} AS prompt,
     {_sql_text("c")} AS chosen_text, {_sql_spans("c")} AS chosen_spans,

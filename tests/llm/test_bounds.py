@@ -113,14 +113,15 @@ def test_preferences_without_key_follow_the_statement(spark, tmp_path):
     rows = [(c, t, r, f"{r} {c} {t}") for c in range(30) for t, r in enumerate(["user", "assistant", "user", "assistant"][: 2 + c % 3])]
     rows += [(None, 0, "assistant", f"alone {k}") for k in range(40)] + [(None, 1, "user", "no answer"), (None, None, None, None)]
     frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    got = preferences.formatted(preferences.paired(frame))
+    whole = preferences.gathered(frame)
+    got = preferences.formatted(preferences.paired(frame).unionByName(preferences.unanswered(whole)))
     frame.write.parquet(str(tmp_path / "conversations.parquet"))
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     result = db.execute(preferences.ORACLE)
     columns = [d[0] for d in result.description]
     expected = sorted(map(repr, result.fetchall()))
-    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == expected and len(expected) == 70
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == expected and len(expected) == 72
 
 
 def test_mixture_takes_rows_without_id(spark):
