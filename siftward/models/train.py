@@ -33,6 +33,9 @@ VOTERS = ("decision_tree", "log_reg", "random_forest", "svm")
 MEASURES = ("train_accuracy", "test_accuracy", "train_recall", "test_recall", "test_auc")
 
 
+# --- fixed values: sizes of the models and ranges of the searches ----------------
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sizes of the models; the defaults are those of the full training.

@@ -1,5 +1,6 @@
 """Session settings for the jobs, and the places they share."""
 
+import warnings
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local"):
+                warnings.warn("spark.checkpoint.dir is not set; tables are stored in the warehouse, which all machines must share")
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/siftward_stored"
         context.setCheckpointDir(folder)
     folder = context.getCheckpointDir()
