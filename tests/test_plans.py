@@ -34,6 +34,7 @@ from siftward.plans.scan import (
 )
 from siftward.plans.training import train_and_save
 from siftward.session import cut_lineage
+from siftward.sources.readers import read_latest_stages
 from siftward.sources.schemas import DISTRIBUTION_METADATA
 from siftward.sources.writers import write_features
 
@@ -264,7 +265,8 @@ def test_training_is_kept(raw, spark, tmp_path):
     wide = wide.withColumn("is_spam", F.when(F.col("pkg_name").contains("1"), 1).otherwise(0))
     report = train_and_save(wide, str(tmp_path), AS_OF, Settings(forest_trees=3, max_iterations=10))
     assert {r["class"] for r in report.collect()} >= {"macro avg", "weighted avg"}
-    assert (tmp_path / "latest").is_dir() and (tmp_path / f"{AS_OF:%Y%m%d_%H%M%S}").is_dir()
+    assert [p.is_dir() for p in tmp_path.glob(f"{AS_OF:%Y%m%d_%H%M%S}-*")] == [True]
+    assert read_latest_stages(spark, str(tmp_path)).transform(wide.limit(3)).count() == 3
 
 
 def test_values_in_long_form(raw):
