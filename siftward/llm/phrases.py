@@ -169,39 +169,30 @@ def counted_batch(
     word_before = before.holds(hashes) if before else np.zeros(len(spelt), bool)
     word_now[:2] = word_before[:2] = False
     a, b = ids[:-1], ids[1:]
-    pair_at = np.flatnonzero(word_now[a] & word_now[b])
-    if not len(pair_at):
-        return
-    pairs, which = np.unique(a[pair_at] * len(spelt) + b[pair_at], return_inverse=True)
-    first, second = pairs // len(spelt), pairs % len(spelt)
-    times = np.bincount(which[own[pair_at + 1]], minlength=len(pairs))
-    pair_before = word_before[first] & word_before[second]
-    new = np.flatnonzero((times > 0) & ~pair_before)
-    for k in range(0, len(new), GIVEN_OUT):
-        part = new[k : k + GIVEN_OUT]
-        said = [spelt[x] + b" " + spelt[y] for x, y in zip(first[part].tolist(), second[part].tolist())]
-        yield said, 2, times[part]
-    both = pair_hashes(hashes[first], hashes[second])
-    pair_now = now.holds(both)
+    eligible, counted = word_now[a] & word_now[b], word_before[a] & word_before[b]
+    size = len(spelt)
+
+    def given(codes: np.ndarray, words: int) -> Iterator[tuple[list[bytes], int, np.ndarray]]:
+        found, times = np.unique(codes, return_counts=True)
+        for k in range(0, len(found), GIVEN_OUT):
+            part = found[k : k + GIVEN_OUT]
+            ends = [(part // size**n % size).tolist() for n in range(words - 1, -1, -1)]
+            yield [b" ".join([spelt[w] for w in phrase]) for phrase in zip(*ends)], words, times[k : k + GIVEN_OUT]
+
+    new = eligible & ~counted & own[1:]
+    yield from given(a[new] * size + b[new], 2)
+
+    # Whether each pair, where it stands, is in the family now, and was before.
+    pair_now, pair_before = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    at = np.flatnonzero(eligible)
+    both = pair_hashes(hashes[a[at]], hashes[b[at]])
+    pair_now[at] = now.holds(both)
     if before:
-        pair_before &= before.holds(both)
-
-    # Pair number at each place, or none.
-    number_at = np.full(len(ids), -1, np.int64)
-    number_at[pair_at] = which
-    x, y = number_at[:-1], number_at[1:]
-    places = np.flatnonzero((x >= 0) & (y >= 0))
-    places = places[pair_now[x[places]] & pair_now[y[places]]]
-    places = places[own[np.minimum(places + 2, len(ids) - 1)]]
-    places = places[~(pair_before[x[places]] & pair_before[y[places]])]
-    if not len(places):
-        return
-    triples, times = np.unique(x[places] * len(pairs) + y[places], return_counts=True)
-    left, right = triples // len(pairs), second[triples % len(pairs)]
-    for k in range(0, len(triples), GIVEN_OUT):
-        part = slice(k, k + GIVEN_OUT)
-        ends = (first[left[part]].tolist(), second[left[part]].tolist(), right[part].tolist())
-        yield [b" ".join((spelt[u], spelt[v], spelt[w])) for u, v, w in zip(*ends)], 3, times[part]
+        known = counted[at]
+        pair_before[at[known]] = before.holds(both[known])
+    new = pair_now[:-1] & pair_now[1:] & ~(pair_before[:-1] & pair_before[1:]) & own[2:]
+    # Words of a batch are far fewer than two million, so three of them fit 63 bits.
+    yield from given((ids[:-2][new] * size + ids[1:-1][new]) * size + ids[2:][new], 3)
 
 
 def border_counts(
