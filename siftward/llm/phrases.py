@@ -20,10 +20,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count as from_zero
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,7 +55,10 @@ END, NOTHING = b"\n", b""
 
 
 class Filter:
-    """Bloom filter over hashes of words and pairs with their language; travels as an array of 64-bit words."""
+    """Bloom filter over hashes of words and pairs with their language; travels as an array of 64-bit words.
+
+    The number of bits is a power of two.
+    """
 
     def __init__(self, words: np.ndarray | None = None, bits: int = FILTER_BITS):
         self.words = np.zeros(bits // 64, np.uint64) if words is None else words
@@ -64,7 +67,7 @@ class Filter:
     def places(self, hashes: np.ndarray) -> np.ndarray:
         low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
         steps = np.arange(FILTER_HASHES, dtype=np.uint64)[:, None]
-        return (low + steps * (high | np.uint64(1))) % np.uint64(self.bits)
+        return (low + steps * (high | np.uint64(1))) & np.uint64(self.bits - 1)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         places = self.places(hashes)
@@ -142,21 +145,20 @@ def counted_batch(
 
     Without ``now`` only words are counted. Pairs and triples are numbers until they are given out, some at a time.
     """
-    number: dict[bytes, int] = defaultdict(from_zero().__next__)
-    number[END], number[NOTHING]
-    tokens = text.replace(END, b" \n ").split(b" ")
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    del tokens
-    ids = ids[ids != 1]
-    spelt = list(number)
-    del number
+    tokens = pc.split_pattern(pa.array([text.replace(END, b" \n ")], pa.large_binary()), pattern=b" ").flatten()
+    words = tokens.dictionary_encode()
+    ids, spelt = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+    del tokens, words
+    # What is no word: the end of a piece, and nothing between two blanks.
+    none = [k for k, w in enumerate(spelt) if w in (END, NOTHING)]
+    ids = ids[ids != next((k for k in none if spelt[k] == NOTHING), -1)]
     own = np.ones(len(ids), bool)
     # Words known from the part before; nothing else is in front of them.
     own[:context] = False
 
     if before is None:
         times = np.bincount(ids[own], minlength=len(spelt))
-        times[0] = 0
+        times[none] = 0
         used = np.flatnonzero(times)
         for k in range(0, len(used), GIVEN_OUT):
             part = used[k : k + GIVEN_OUT]
@@ -167,7 +169,7 @@ def counted_batch(
     hashes = word_hashes(lang, spelt)
     word_now = now.holds(hashes)
     word_before = before.holds(hashes) if before else np.zeros(len(spelt), bool)
-    word_now[:2] = word_before[:2] = False
+    word_now[none] = word_before[none] = False
     a, b = ids[:-1], ids[1:]
     eligible, counted = word_now[a] & word_now[b], word_before[a] & word_before[b]
     size = len(spelt)
@@ -188,7 +190,8 @@ def counted_batch(
     both = pair_hashes(hashes[a[at]], hashes[b[at]])
     pair_now[at] = now.holds(both)
     if before:
-        known = counted[at]
+        # What the filter does not hold now it did not hold before.
+        known = counted[at] & pair_now[at]
         pair_before[at[known]] = before.holds(both[known])
     new = pair_now[:-1] & pair_now[1:] & ~(pair_before[:-1] & pair_before[1:]) & own[2:]
     # Words of a batch are far fewer than two million, so three of them fit 63 bits.
