@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftward.operators.releases import RELEASE_ORDER, newest
+from siftward.operators.releases import RELEASE_ORDER, newest_rows
 
 LATEST_FIELDS = (
     "version", "upload_time", "summary", "description", "home_page",
@@ -31,20 +31,21 @@ def joined_values(column: str, separator: str) -> Column:
 def package_profile(dist: DataFrame, order: Sequence[str] = RELEASE_ORDER) -> DataFrame:
     """Newest release and distinct values of each package.
 
+    The newest rows, which alone bring their texts, and the values, which are short, are aggregated apart.
     Elements of lists are gathered in an aggregation of their own, so that a cell is as long as
     its distinct elements and never holds whole lists.
     """
     classifiers = distinct_elements(dist, "classifiers", "distinct_classifiers")
+    latest = newest_rows(dist, LATEST_FIELDS, order)
     profile = dist.groupBy("name").agg(
-        newest(LATEST_FIELDS, order).alias("latest"),
         joined_values("license", ", ").alias("licenses"),
         distinct_values("author_email").alias("distinct_authors"),
         distinct_values("maintainer_email").alias("distinct_maintainers"),
         distinct_values("keywords").alias("distinct_keywords"),
     )
     none = F.array().cast(dist.schema["classifiers"].dataType)
-    joined = profile.join(classifiers, profile["name"].eqNullSafe(classifiers["name"]), "left")
-    return joined.select(
-        *(profile[c] for c in profile.columns),
-        F.coalesce(classifiers["distinct_classifiers"], none).alias("distinct_classifiers"),
-    )
+    for part in (profile, classifiers):
+        # Each package has a row of the first, and not always one of the second.
+        keyed = part.withColumnRenamed("name", "_name")
+        latest = latest.join(keyed, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    return latest.withColumn("distinct_classifiers", F.coalesce("distinct_classifiers", none))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from siftward.functions.moments import age_days, hour_bucket, weekday
+from siftward.operators.scope import fits_broadcast
+from siftward.session import cut_lineage
 
 # Newest first by upload time; the rest only settles ties.
 RELEASE_ORDER = ("upload_time", "version")
@@ -22,12 +24,38 @@ def newest(fields: Sequence[Column | str], order: Sequence[str] = RELEASE_ORDER)
     return F.max(F.struct(*ranks, *fields))
 
 
+def newest_dated(dist: DataFrame, order: Sequence[str] = RELEASE_ORDER) -> DataFrame:
+    """Rows with the highest first order column of their package: the newest one, and those that tie with it in it.
+
+    Only names and that one column are aggregated, by hash. As a predicate (which a semi join is not) the test goes below
+    the joins that bring in texts, so texts meet these few rows instead of being sorted for all.
+    """
+    tops = cut_lineage(
+        dist.select(F.col("name").alias("_name"), F.col(order[0]).alias("_first"))
+        .groupBy("_name")
+        .agg(F.max("_first").alias("_top"))
+    )
+    if fits_broadcast(tops.select("_name")):
+        tops = F.broadcast(tops)
+    same = F.col("_name").eqNullSafe(F.col("_dist.name").outer()) & F.col("_top").eqNullSafe(
+        F.col(f"_dist.{order[0]}").outer()
+    )
+    return dist.alias("_dist").where(tops.where(same).exists())
+
+
+def newest_rows(
+    dist: DataFrame, fields: Sequence[str], order: Sequence[str] = RELEASE_ORDER
+) -> DataFrame:
+    """``name`` and ``latest``, the newest row of each package as ``newest`` gives it."""
+    return newest_dated(dist, order).groupBy("name").agg(newest(fields, order).alias("latest"))
+
+
 def latest_release(
     dist: DataFrame, fields: Sequence[str], order: Sequence[str] = RELEASE_ORDER
 ) -> DataFrame:
     """The newest row of each package."""
-    picked = dist.groupBy("name").agg(newest(fields, order).alias("row"))
-    return picked.select("name", *(F.col("row")[f].alias(f) for f in fields))
+    picked = newest_rows(dist, fields, order)
+    return picked.select("name", *(F.col("latest")[f].alias(f) for f in fields))
 
 
 def version_files(dist: DataFrame) -> DataFrame:

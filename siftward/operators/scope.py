@@ -1,6 +1,6 @@
 """Restricting large tables to a list of names."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # A list within these bounds is safe to hold on every executor.
 BROADCAST_ROWS = 2_000_000
@@ -22,13 +22,14 @@ def fits_broadcast(
     return seen["n"] <= rows and seen["size"] <= size
 
 
-def keep_named(table: DataFrame, name: Column, names: DataFrame) -> DataFrame:
-    """Rows whose name is on the list, by a plain semi join.
+def keep_named(table: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Rows whose name is on the list.
 
-    Use on rows that are already aggregated: one name cannot be hot there.
+    As a predicate, which goes below the joins that the table is made of. Use without a broadcast on rows that
+    are already aggregated: one name cannot be hot there.
     """
-    (column,) = names.columns
-    return table.join(names, name == names[column], "left_semi")
+    listed = names.select(F.col(names.columns[0]).alias("_listed"))
+    return table.alias("_table").where(listed.where(F.col("_listed") == F.col(f"_table.{column}").outer()).exists())
 
 
 class Scope:
@@ -47,9 +48,9 @@ class Scope:
     def early(self, table: DataFrame, column: str = "name") -> DataFrame:
         if not self.is_short:
             return table
-        return keep_named(table, table[column], F.broadcast(self.names))
+        return keep_named(table, column, F.broadcast(self.names))
 
     def late(self, table: DataFrame, column: str = "name") -> DataFrame:
         if self.is_short:
             return table
-        return keep_named(table, table[column], self.names)
+        return keep_named(table, column, self.names)

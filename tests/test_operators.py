@@ -358,3 +358,24 @@ def test_empty_corpus(spark):
     assert name_similarity(frame, cut_lineage(fit_names(frame))).count() == 0
     model, corpus = fit_descriptions(frame)
     assert corpus_distance(corpus, model).count() == 0
+
+
+def test_newest_is_chosen_before_texts_are_met(spark):
+    """Rows of a joined table are told apart below the join that brings in their texts."""
+    uploads = spark.createDataFrame(
+        [("a", 1, "x", 7), ("a", 2, "y", 7), ("a", 2, "z", 8), ("b", None, "v", None), (None, 3, "w", 9)],
+        "name string, upload_time int, version string, id int",
+    )
+    texts = spark.createDataFrame([(7, "seven"), (8, "eight"), (9, "nine")], "text_id int, description string")
+    dist = uploads.join(texts, F.col("id") == F.col("text_id"), "left")
+    rows = latest_release(dist, ["version", "description"])
+    assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(
+        map(repr, [("a", "z", "eight"), ("b", "v", None), (None, "w", "nine")])
+    )
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftOuter") < plan.index("LeftSemi")
+    scope = scoping.Scope(spark.createDataFrame([("a",)], "name string"))
+    listed = scope.early(dist)
+    assert {r["description"] for r in listed.collect()} == {"seven", "eight"}
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftOuter") < plan.index("LeftSemi")
