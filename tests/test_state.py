@@ -8,6 +8,8 @@ import pytest
 from siftward.operators.metadata import package_profile
 from siftward.operators.popularity import dependent_counts, counted_dependents
 from siftward.operators.releases import median_gap, median_gap_of_days, version_files
+from siftward import session
+from siftward.operators import releases
 from siftward.plans import state
 from siftward.sources import commits, schemas
 
@@ -77,3 +79,14 @@ def test_an_update_in_between_is_noticed(spark, uploads, tmp_path, monkeypatch):
     assert said(state.read_state(spark, path, like)["files"]) == said(version_files(two))
     state.update(one, path, buckets=2)
     assert said(state.read_state(spark, path, like)["files"]) == said(version_files(one.union(two)))
+
+
+def test_batches_are_not_stored(spark, uploads, tmp_path, monkeypatch):
+    """An update stores the merged state and no copy of the batch beside it."""
+    stored = []
+    for module in (session, releases):
+        cut = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=cut: stored.append(df.columns) or cut(df))
+    monkeypatch.setattr(state, "cut_lineage", session.cut_lineage, raising=False)
+    state.update(uploads[0], str(tmp_path / "state"), buckets=2)
+    assert not any({"latest", "description"} & set(columns) for columns in stored)
