@@ -7,6 +7,8 @@ import numpy as np
 WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 3
+#: Windows whose keys are worked out at once.
+STRETCH = 1 << 16
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -14,7 +16,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.array(list(map(xxh3_64_intdigest, words)), np.uint64)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -27,11 +29,17 @@ def window_keys(words: list[bytes], hashes: np.ndarray, window: int = WINDOW) ->
 
     Long runs are rare, so few anchors are shared by chance. The key depends on the window's words alone (ties are
     settled by hash), so windows of the same words have the same key wherever they stand.
-    Neighbours mostly share theirs.
+    Neighbours mostly share theirs. Stretch by stretch, as the numbers on the way take several times the room of the keys.
     """
+    keys = np.zeros(max(0, len(words) - window + 1), np.uint64)
+    for a in range(0, len(keys), STRETCH):
+        b = a + STRETCH + window - 1
+        keys[a : a + STRETCH] = stretch_keys(words[a:b], hashes[a:b], window)
+    return keys
+
+
+def stretch_keys(words: list[bytes], hashes: np.ndarray, window: int) -> np.ndarray:
     n = len(words)
-    if n < window:
-        return np.zeros(0, np.uint64)
     runs = n - ANCHOR + 1
     size = np.fromiter(map(len, words), np.int64, n)
     length = sum(size[k : k + runs] for k in range(ANCHOR))

@@ -32,6 +32,8 @@ from siftward.llm.repeats import WINDOW, Words, places, ranges, window_hashes
 
 #: Text of a block on average.
 BLOCK_BYTES = 4 << 20
+#: Text whose words are held at once where a block or batch is read text by text.
+PIECE_BYTES = 1 << 19
 #: Words of the passages of one automaton; a block has as many automata as it needs.
 SHARD_WORDS = 200_000
 #: One anchor in so many ends a passage.
@@ -62,39 +64,53 @@ def bucketed(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(buckets[start]), slice(start, stop)
 
 
+def piece_anchors(piece: pa.Array, blocks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of each text, once, with its block."""
+    all_ = Words(texts(piece), window)
+    key, owner = all_.keys[all_.whole], all_.text[all_.whole]
+    # Neighbours mostly share their anchor.
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]
+    key, owner = key[new], owner[new]
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    again = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
+    new = np.concatenate([[True], ~again])[: len(key)]
+    return key[new], blocks[owner[new]]
+
+
+def packed_anchors(part: pa.Array, blocks: np.ndarray, n: int, window: int) -> pa.RecordBatch:
+    """Anchors of some texts by bucket. Words are objects, so only those of a piece are held at a time."""
+    pieces, start = [], 0
+    for piece in byte_slices(part, PIECE_BYTES):
+        pieces.append(piece_anchors(piece, blocks[start : start + len(piece)], window))
+        start += len(piece)
+    key, block = (np.concatenate(x) for x in zip(*pieces))
+    order = np.lexsort((block, key))
+    key, block = key[order], block[order]
+    # Of equal entries, which are of several documents of a block, two are enough.
+    same = (key[1:] == key[:-1]) & (block[1:] == block[:-1])
+    third = np.concatenate([[False, False], same[1:] & same[:-1]])[: len(key)]
+    key, block = key[~third], block[~third]
+    bucket = (key % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    key, block, bucket = key[order], block[order], bucket[order]
+    rows = [(b, packed(key[s], "<u8"), packed(block[s], "<u4")) for b, s in bucketed(bucket)]
+    return pa.RecordBatch.from_pydict({
+        "bucket": pa.array([r[0] for r in rows], pa.int32()),
+        "keys": pa.array([r[1] for r in rows], pa.binary()),
+        "blocks": pa.array([r[2] for r in rows], pa.binary()),
+    })
+
+
 def block_anchors(n: int, window: int):
     """Task: anchors of the rows, each with the block of its document, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
+            blocks, start = batch.column("block").to_numpy(), 0
             for part in byte_slices(batch.column("text")):
-                blocks = batch.column("block").slice(start, len(part)).to_pylist()
+                yield packed_anchors(part, blocks[start : start + len(part)].astype(np.int64), n, window)
                 start += len(part)
-                all_ = Words(texts(part), window)
-                key, owner = all_.keys[all_.whole], all_.text[all_.whole]
-                # Neighbours mostly share their anchor.
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]
-                key, owner = key[new], owner[new]
-                block = np.array(blocks, np.int64)[owner]
-                order = np.lexsort((owner, block, key))
-                key, block, owner = key[order], block[order], owner[order]
-                again = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
-                new = np.concatenate([[True], ~again])[: len(key)]
-                key, block = key[new], block[new]
-                # Of equal entries, which are of several documents of a block, two are enough.
-                same = (key[1:] == key[:-1]) & (block[1:] == block[:-1])
-                third = np.concatenate([[False, False], same[1:] & same[:-1]])[: len(key)]
-                key, block = key[~third], block[~third]
-                bucket = (key % np.uint64(n)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                key, block, bucket = key[order], block[order], bucket[order]
-                rows = [(b, packed(key[s], "<u8"), packed(block[s], "<u4")) for b, s in bucketed(bucket)]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([r[0] for r in rows], pa.int32()),
-                    "keys": pa.array([r[1] for r in rows], pa.binary()),
-                    "blocks": pa.array([r[2] for r in rows], pa.binary()),
-                })
 
     return run
 
@@ -118,6 +134,25 @@ def shared_anchors(group: pa.Table) -> pa.Table:
     })
 
 
+def split_piece(piece: pa.Array, names: list, shared: np.ndarray, window: int, pending: list[dict], done: list[dict]) -> None:
+    """Put each text to the unfinished or finished documents."""
+    all_ = Words(texts(piece), window)
+    marked = all_.whole.copy()
+    if len(shared):
+        at = np.minimum(np.searchsorted(shared, all_.keys), len(shared) - 1)
+        marked &= shared[at] == all_.keys
+    else:
+        marked[:] = False
+    found = np.bincount(all_.text[marked], minlength=len(piece))
+    bounds = zip(all_.begins.tolist(), all_.ends.tolist())
+    for doc, words, n, (low, high) in zip(names, all_.parts, found.tolist(), bounds):
+        if n:
+            windows = ranges(marked[low : max(low, high - window + 1)])
+            pending.append({"doc_id": doc, "text": b" ".join(words), "windows": windows.tolist()})
+        else:
+            done.append({"doc_id": doc, "n_words": len(words), "n_removed": 0, "kept_sha256": digest(words)})
+
+
 def split_block(window: int):
     """Group: the documents of a block and its shared anchors. One row: unfinished and finished documents."""
 
@@ -128,23 +163,10 @@ def split_block(window: int):
         pending, done = [], []
         names = docs.column("doc_id").to_pylist()
         start = 0
-        for part in byte_slices(docs.column("text").combine_chunks()):
-            all_ = Words(texts(part), window)
-            marked = all_.whole.copy()
-            if len(shared):
-                at = np.minimum(np.searchsorted(shared, all_.keys), len(shared) - 1)
-                marked &= shared[at] == all_.keys
-            else:
-                marked[:] = False
-            found = np.bincount(all_.text[marked], minlength=len(part))
-            bounds = zip(all_.begins.tolist(), all_.ends.tolist())
-            for doc, words, n, (low, high) in zip(names[start : start + len(part)], all_.parts, found.tolist(), bounds):
-                if n:
-                    windows = ranges(marked[low : max(low, high - window + 1)])
-                    pending.append({"doc_id": doc, "text": b" ".join(words), "windows": windows.tolist()})
-                else:
-                    done.append({"doc_id": doc, "n_words": len(words), "n_removed": 0, "kept_sha256": digest(words)})
-            start += len(part)
+        for chunk in docs.column("text").chunks:
+            for piece in byte_slices(chunk, PIECE_BYTES):
+                split_piece(piece, names[start : start + len(piece)], shared, window, pending, done)
+                start += len(piece)
         return pa.table({
             "block": docs.column("block").slice(0, 1), "pending": pa.array([pending], ARROW_PENDING), "done": pa.array([done], ARROW_DONE)
         })
@@ -195,24 +217,26 @@ class Candidates:
         self.entry[order] = np.cumsum(new) - 1
 
 
+def packed_windows(block: int, pending: list[dict], n: int, window: int) -> pa.RecordBatch:
+    c = Candidates(pending, n, window)
+    rows = [
+        {"bucket": b, "block": block, "first": packed(c.first[s], "<u8"), "second": packed(c.second[s], "<u4"), "least": packed(c.least[s], "<i8")}
+        for b, s in bucketed(c.bucket)
+    ]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([
+        ("bucket", pa.int32()), ("block", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary()),
+    ]))
+
+
 def block_windows(n: int, window: int):
     """Task: candidate windows of the blocks, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                pending = batch.column("pending")[at].as_py()
-                if not pending:
-                    continue
-                block = batch.column("block")[at].as_py()
-                c = Candidates(pending, n, window)
-                rows = [
-                    {"bucket": b, "block": block, "first": packed(c.first[s], "<u8"), "second": packed(c.second[s], "<u4"), "least": packed(c.least[s], "<i8")}
-                    for b, s in bucketed(c.bucket)
-                ]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                    ("bucket", pa.int32()), ("block", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary()),
-                ]))
+                # No name holds a block on while the next is read.
+                if len(batch.column("pending")[at]):
+                    yield packed_windows(batch.column("block")[at].as_py(), batch.column("pending")[at].as_py(), n, window)
 
     return run
 
@@ -310,27 +334,30 @@ class Located:
         return change
 
 
+def finished(pending: list[dict], bits: dict[int, bytes], n: int, window: int) -> pa.RecordBatch:
+    c = Candidates(pending, n, window)
+    earlier = np.zeros(len(c.first), bool)
+    for bucket, s in bucketed(c.bucket):
+        count = s.stop - s.start
+        earlier[s] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=count).astype(bool)
+    rows = []
+    for p, words, change in zip(c.pending, c.words, Located(c, earlier, window).covered()):
+        removed = np.cumsum(change[:-1]) > 0
+        kept = [w for w, gone in zip(words, removed.tolist()) if not gone]
+        rows.append({"doc_id": p["doc_id"], "n_words": len(words), "n_removed": int(removed.sum()), "kept_sha256": digest(kept), "kept": b" ".join(kept)})
+    return pa.RecordBatch.from_pylist(rows, pa.schema([
+        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()),
+    ]))
+
+
 def finish(n: int, window: int):
     """Task: blocks with the bits of their windows. Rows of the unfinished documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                pending = batch.column("pending")[at].as_py()
-                c = Candidates(pending, n, window)
-                earlier = np.zeros(len(c.first), bool)
                 bits = {x["bucket"]: x["bits"] for x in batch.column("replies")[at].as_py()}
-                for bucket, s in bucketed(c.bucket):
-                    count = s.stop - s.start
-                    earlier[s] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=count).astype(bool)
-                rows = []
-                for p, words, change in zip(c.pending, c.words, Located(c, earlier, window).covered()):
-                    removed = np.cumsum(change[:-1]) > 0
-                    kept = [w for w, gone in zip(words, removed.tolist()) if not gone]
-                    rows.append({"doc_id": p["doc_id"], "n_words": len(words), "n_removed": int(removed.sum()), "kept_sha256": digest(kept), "kept": b" ".join(kept)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()),
-                ]))
+                yield finished(batch.column("pending")[at].as_py(), bits, n, window)
 
     return run
 

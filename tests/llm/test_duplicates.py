@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -153,6 +154,27 @@ def test_substrings_of_random_passages(spark):
     assert sorted((tuple(r) for r in got), key=repr) == deduped(rows)
 
 
+def test_words_of_a_piece_are_held_at_a_time(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["one", "two", "three", "four"], k=60)).encode() for _ in range(200)]
+    blocks = pa.array([k % 3 for k in range(200)], pa.int32())
+    rows = pa.table({"block": blocks, "doc_id": pa.array(range(200), pa.int64()), "text": pa.array(texts, pa.binary())})
+    batch = pa.RecordBatch.from_pydict({"block": blocks, "text": pa.array(texts, pa.binary())})
+
+    def results():
+        packed = [b.to_pylist() for b in substring_dedup.block_anchors(5, 13)([batch])]
+        keys = pa.table({"block": pa.array([0] * 5, pa.int32()), "keys": pa.array([r["keys"] for r in packed[0]], pa.binary())})
+        return packed, substring_dedup.split_block(13)(rows, keys.slice(0, 3)).to_pylist()
+
+    whole, sizes = results(), []
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 2000)
+    monkeypatch.setattr(repeats, "STRETCH", 7)
+    monkeypatch.setattr(substring_dedup, "Words", lambda texts, window: sizes.append(sum(map(len, texts))) or repeats.Words(texts, window))
+    assert results() == whole
+    # A text that begins in a piece may end beyond it.
+    assert max(sizes) < 2000 + max(map(len, texts)) and sum(sizes) == 2 * sum(map(len, texts))
+
+
 def test_no_substrings(no_docs):
     assert substring_dedup.without_repeats(no_docs).count() == 0
 
