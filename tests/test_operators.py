@@ -28,6 +28,7 @@ from siftward.operators.similarity import (
     fit_names,
     name_similarity,
 )
+from siftward.operators import skew
 from siftward.operators.skew import lookup_join, numbered, running_totals
 from siftward.session import cut_lineage
 
@@ -379,3 +380,16 @@ def test_newest_is_chosen_before_texts_are_met(spark):
     assert {r["description"] for r in listed.collect()} == {"seven", "eight"}
     plan = listed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftOuter") < plan.index("LeftSemi")
+
+
+def test_parts_of_a_spread_table_are_bounded_by_their_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "one file")
+    spark.range(20_000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert skew.use_all_cores(rows).rdd.getNumPartitions() == cores
+    size = skew.stored_bytes(spark, rows.inputFiles())
+    monkeypatch.setattr(skew, "PART_BYTES", size // 50)
+    spread = skew.use_all_cores(rows)
+    assert spread.rdd.getNumPartitions() >= 50 > cores
+    assert spread.agg(F.sum("id"), F.count("id")).first() == (20_000 * 19_999 // 2, 20_000)
