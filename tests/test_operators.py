@@ -28,7 +28,7 @@ from siftward.operators.similarity import (
     fit_names,
     name_similarity,
 )
-from siftward.operators import skew
+from siftward.operators import similarity, skew
 from siftward.operators.skew import lookup_join, numbered, running_totals
 from siftward.session import cut_lineage
 
@@ -393,3 +393,24 @@ def test_parts_of_a_spread_table_are_bounded_by_their_files(spark, tmp_path, mon
     spread = skew.use_all_cores(rows)
     assert spread.rdd.getNumPartitions() >= 50 > cores
     assert spread.agg(F.sum("id"), F.count("id")).first() == (20_000 * 19_999 // 2, 20_000)
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+@pytest.mark.parametrize("size", [1, 4, 9, 30, 1000])
+def test_vocabulary_counts_pairs_of_frequent_words(spark, monkeypatch, size, most):
+    rng = random.Random(size)
+    listed = [" ".join(rng.choices("aa bb cc dd ee ff gg hh".split(), range(1, 9), k=rng.randint(0, 12))) for _ in range(40)]
+    listed += [None, "", "rare", "zz zz zz", "cc dd"]
+    counts = Counter()
+    for said in listed:
+        words = (said or "").split()
+        counts.update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    expected = sorted(counts, key=lambda t: (-counts[t], t))[:size]
+    texts = spark.createDataFrame([(x,) for x in listed], "said string")
+    words = similarity.description_words("said", ["no"])
+    seen = []
+    pairs = similarity.candidate_pairs
+    monkeypatch.setattr(similarity, "candidate_pairs", lambda t, w, f: seen.append(pairs(t, w, f, most)) or seen[-1])
+    assert [r.term for r in similarity.vocabulary(texts, words, size).collect()] == expected
+    every = sum(n for t, n in counts.items() if " " in t)
+    assert seen[0].count() < every if size < 8 and most > 3 else seen[0].count() <= every
