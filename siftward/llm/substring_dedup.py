@@ -5,6 +5,7 @@
    documents are found by one shuffle of packed numbers, and go back to the blocks of documents they came from.
 2. Candidates. Blocks (some MB of text, by a hash of the row) mark the windows with such an anchor. Documents
    without any are finished.
+   The others are kept by block, compressed.
 3. Confirmation. 96-bit hashes of the candidate windows, with the least document of the block, are
    shuffled; what comes back is one bit each: whether a smaller document in another block has the window.
 4. Automata. Confirmed windows that follow one another and have the same first document are a passage,
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftward.llm.common import byte_slices, cut_lineage, raw, table, texts
-from siftward.llm.repeats import WINDOW, Words, places, ranges, window_hashes
+from siftward.llm.repeats import WINDOW, Words, places, ranges, scrambled, window_hashes
 
 #: Text of a block on average.
 BLOCK_BYTES = 4 << 20
@@ -44,7 +45,6 @@ BASE = 64
 #: Rows without id rank behind all ids.
 LAST = (1 << 63) - 1
 
-PENDING = "array<struct<doc_id: bigint, text: binary, windows: array<int>>>"
 DONE = "array<struct<doc_id: bigint, n_words: bigint, n_removed: bigint, kept_sha256: string>>"
 
 
@@ -56,6 +56,37 @@ def packed(numbers: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(numbers, kind).tobytes()
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Signed numbers in as few bytes each as all of them fit."""
+    n, width = np.ascontiguousarray(numbers, "<i8"), 1
+    # What is left above the sign is 0, or -1 below zero.
+    while width < 8 and (n >> (8 * width - 1) != n >> 63).any():
+        width += 1
+    return n.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``narrow``."""
+    found = np.frombuffer(data, np.uint8).reshape(n, -1)
+    whole = np.where(found[:, -1:] > 127, 255, 0).astype(np.uint8).repeat(8, axis=1)
+    whole[:, : found.shape[1]] = found
+    return whole.view("<i8").ravel()
+
+
+def zipped(pending: list[dict]) -> bytes | None:
+    """Unfinished documents of a block, compressed: they are stored, and shuffled once more to meet their replies."""
+    if not pending:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PENDING, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_batch(pa.RecordBatch.from_pylist(pending, PENDING))
+    return sink.getvalue().to_pybytes()
+
+
+def unzipped(pending: bytes) -> list[dict]:
+    return pa.ipc.open_stream(pending).read_all().to_pylist()
+
+
 def bucketed(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Stretches of a sorted array of bucket numbers."""
     edges = np.flatnonzero(np.diff(buckets)) + 1
@@ -64,6 +95,11 @@ def bucketed(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(buckets[start]), slice(start, stop)
 
 
+def short_keys(keys: np.ndarray) -> np.ndarray:
+    """What of an anchor's key is shuffled and compared, beside its bucket. Equal ones by chance only add candidates."""
+    return scrambled(keys).astype("<u4")
+
+
 def piece_anchors(piece: pa.Array, blocks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of each text, once, with its block."""
     all_ = Words(texts(piece), window)
@@ -91,10 +127,10 @@ def packed_anchors(part: pa.Array, blocks: np.ndarray, n: int, window: int) -> p
     same = (key[1:] == key[:-1]) & (block[1:] == block[:-1])
     third = np.concatenate([[False, False], same[1:] & same[:-1]])[: len(key)]
     key, block = key[~third], block[~third]
-    bucket = (key % np.uint64(n)).astype(np.int64)
+    bucket = bucket_of(scrambled(key), n)
     order = np.argsort(bucket, kind="stable")
-    key, block, bucket = key[order], block[order], bucket[order]
-    rows = [(b, packed(key[s], "<u8"), packed(block[s], "<u4")) for b, s in bucketed(bucket)]
+    key, block, bucket = short_keys(key[order]), block[order], bucket[order]
+    rows = [(b, packed(key[s], "<u4"), narrow(block[s])) for b, s in bucketed(bucket)]
     return pa.RecordBatch.from_pydict({
         "bucket": pa.array([r[0] for r in rows], pa.int32()),
         "keys": pa.array([r[1] for r in rows], pa.binary()),
@@ -117,8 +153,9 @@ def block_anchors(n: int, window: int):
 
 def shared_anchors(group: pa.Table) -> pa.Table:
     """Group: the anchors of a bucket. Those with more than one document, by block."""
-    key = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<u8")
-    block = np.frombuffer(b"".join(group.column("blocks").to_pylist()), "<u4").astype(np.int64)
+    keys = group.column("keys").to_pylist()
+    key = np.frombuffer(b"".join(keys), "<u4")
+    block = np.concatenate([widened(b, len(k) // 4) for k, b in zip(keys, group.column("blocks").to_pylist())])
     order = np.lexsort((block, key))
     key, block = key[order], block[order]
     same = key[1:] == key[:-1]
@@ -128,7 +165,7 @@ def shared_anchors(group: pa.Table) -> pa.Table:
     key, block = key[kept], block[kept]
     order = np.argsort(block, kind="stable")
     key, block = key[order], block[order]
-    rows = [(b, packed(key[s], "<u8")) for b, s in bucketed(block)]
+    rows = [(b, packed(key[s], "<u4")) for b, s in bucketed(block)]
     return pa.table({
         "block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())
     })
@@ -139,8 +176,9 @@ def split_piece(piece: pa.Array, names: list, shared: np.ndarray, window: int, p
     all_ = Words(texts(piece), window)
     marked = all_.whole.copy()
     if len(shared):
-        at = np.minimum(np.searchsorted(shared, all_.keys), len(shared) - 1)
-        marked &= shared[at] == all_.keys
+        keys = short_keys(all_.keys)
+        at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+        marked &= shared[at] == keys
     else:
         marked[:] = False
     found = np.bincount(all_.text[marked], minlength=len(piece))
@@ -158,8 +196,8 @@ def split_block(window: int):
 
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"block": pa.array([], pa.int32()), "pending": pa.array([], ARROW_PENDING), "done": pa.array([], ARROW_DONE)})
-        shared = np.unique(np.frombuffer(b"".join(anchors.column("keys").to_pylist()), "<u8"))
+            return pa.table({"block": pa.array([], pa.int32()), "pending": pa.array([], pa.binary()), "done": pa.array([], ARROW_DONE)})
+        shared = np.unique(np.frombuffer(b"".join(anchors.column("keys").to_pylist()), "<u4"))
         pending, done = [], []
         names = docs.column("doc_id").to_pylist()
         start = 0
@@ -168,13 +206,13 @@ def split_block(window: int):
                 split_piece(piece, names[start : start + len(piece)], shared, window, pending, done)
                 start += len(piece)
         return pa.table({
-            "block": docs.column("block").slice(0, 1), "pending": pa.array([pending], ARROW_PENDING), "done": pa.array([done], ARROW_DONE)
+            "block": docs.column("block").slice(0, 1), "pending": pa.array([zipped(pending)], pa.binary()), "done": pa.array([done], ARROW_DONE)
         })
 
     return run
 
 
-ARROW_PENDING = pa.list_(pa.struct([("doc_id", pa.int64()), ("text", pa.binary()), ("windows", pa.list_(pa.int32()))]))
+PENDING = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("windows", pa.list_(pa.int32()))])
 ARROW_DONE = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
 
@@ -220,7 +258,7 @@ class Candidates:
 def packed_windows(block: int, pending: list[dict], n: int, window: int) -> pa.RecordBatch:
     c = Candidates(pending, n, window)
     rows = [
-        {"bucket": b, "block": block, "first": packed(c.first[s], "<u8"), "second": packed(c.second[s], "<u4"), "least": packed(c.least[s], "<i8")}
+        {"bucket": b, "block": block, "first": packed(c.first[s], "<u8"), "second": packed(c.second[s], "<u4"), "least": narrow(c.least[s])}
         for b, s in bucketed(c.bucket)
     ]
     return pa.RecordBatch.from_pylist(rows, pa.schema([
@@ -235,8 +273,7 @@ def block_windows(n: int, window: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 # No name holds a block on while the next is read.
-                if len(batch.column("pending")[at]):
-                    yield packed_windows(batch.column("block")[at].as_py(), batch.column("pending")[at].as_py(), n, window)
+                yield packed_windows(batch.column("block")[at].as_py(), unzipped(batch.column("pending")[at].as_py()), n, window)
 
     return run
 
@@ -247,7 +284,7 @@ def earlier_elsewhere(group: pa.Table) -> pa.Table:
     sizes = [len(x) // 8 for x in parts["first"]]
     first = np.frombuffer(b"".join(parts["first"]), "<u8")
     second = np.frombuffer(b"".join(parts["second"]), "<u4")
-    least = np.frombuffer(b"".join(parts["least"]), "<i8")
+    least = np.concatenate([widened(x, size) for x, size in zip(parts["least"], sizes)])
     order = np.lexsort((least, second, first))
     a, b = first[order], second[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -357,7 +394,7 @@ def finish(n: int, window: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 bits = {x["bucket"]: x["bits"] for x in batch.column("replies")[at].as_py()}
-                yield finished(batch.column("pending")[at].as_py(), bits, n, window)
+                yield finished(unzipped(batch.column("pending")[at].as_py()), bits, n, window)
 
     return run
 
@@ -377,11 +414,11 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, b
     anchors = rows.select("block", "text").mapInArrow(block_anchors(n, window), "bucket int, keys binary, blocks binary")
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, "block int, keys binary")
     blocks = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        split_block(window), f"block int, pending {PENDING}, done {DONE}"
+        split_block(window), f"block int, pending binary, done {DONE}"
     )
     blocks = cut_lineage(blocks)
     done = blocks.select(F.inline("done")).withColumn("kept", F.lit(None).cast("binary"))
-    pending = blocks.where(F.size("pending") > 0).select("block", "pending")
+    pending = blocks.where("pending is not null").select("block", "pending")
     windows = pending.mapInArrow(
         block_windows(n, window), "bucket int, block int, first binary, second binary, least binary"
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -175,6 +176,27 @@ def test_words_of_a_piece_are_held_at_a_time(monkeypatch):
     assert max(sizes) < 2000 + max(map(len, texts)) and sum(sizes) == 2 * sum(map(len, texts))
 
 
+def test_ids_in_few_bytes():
+    for ids, width in (([0, 127, -128], 1), ([128], 2), ([3, 300_000], 3), ([-(1 << 63), 5], 8), ([substring_dedup.LAST], 8)):
+        data = substring_dedup.narrow(np.array(ids))
+        assert len(data) == width * len(ids) and substring_dedup.widened(data, len(ids)).tolist() == ids
+
+
+def test_unfinished_documents_are_kept_small():
+    """They are stored and shuffled again, which was most of the disk."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(3000)]
+    pending = [{"doc_id": k, "text": " ".join(rng.choices(words, k=300)).encode(), "windows": [0, 280]} for k in range(300)]
+    pending += [{"doc_id": None, "text": b"", "windows": []}]
+    data = substring_dedup.zipped(pending)
+    assert substring_dedup.unzipped(data) == pending and len(data) < 0.5 * sum(len(p["text"]) for p in pending)
+    assert substring_dedup.zipped([]) is None
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([k % 9 for k in range(300)], pa.int32()), "text": [p["text"] for p in pending[:300]]})
+    (anchors,) = substring_dedup.block_anchors(9, 13)([batch])
+    keys, blocks = (sum(map(len, anchors.column(c).to_pylist())) for c in ("keys", "blocks"))
+    assert keys == 4 * blocks > 0
+
+
 def test_no_substrings(no_docs):
     assert substring_dedup.without_repeats(no_docs).count() == 0
 
