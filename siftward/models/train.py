@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftward.models.calibrate import CalibratedSVC
 from siftward.models.encode import encoder, feature_places
 from siftward.models.evaluate import accuracy, recall, roc_auc, roc_points
+from siftward.models.forest import ForestInParts
 from siftward.models.pruning import accuracies, pruned_model, pruning_of
 from siftward.models.split import in_folds, stratified_split
 from siftward.models.staged import prefix_accuracies
@@ -89,12 +90,11 @@ def classifier_stages(name: str, n_rows: int, settings: Settings = Settings()) -
             )
         ]
     if name == "random_forest":
-        return [
-            RandomForestClassifier(
-                numTrees=settings.forest_trees, maxDepth=settings.forest_depth, seed=SEED,
-                cacheNodeIds=True, **common, **probability,
-            )
-        ]
+        forest = RandomForestClassifier(
+            numTrees=settings.forest_trees, maxDepth=settings.forest_depth, seed=SEED,
+            cacheNodeIds=True, **common, **probability,
+        )
+        return [ForestInParts(forest, n_rows)]
     if name == "boosting":
         return [
             _boosting().setParams(
@@ -169,10 +169,10 @@ def train_ensemble(train: DataFrame, settings: Settings = Settings()) -> Pipelin
     """Encoding and all voters, fitted in one go on training rows."""
     encoding = encoder(_labelled(train))
     with stored(encoding.transform(train)) as (rows, n_rows):
-        stages = [s for v in settings.voters for s in classifier_stages(v, n_rows, settings)]
-        fitted = Pipeline(stages=stages).fit(rows)
-    # A classifier of several stages is a pipeline within; models are kept as one list of Spark's own stages.
-    flat = [s for f in fitted.stages for s in (f.stages if isinstance(f, PipelineModel) else [f])]
+        # None needs what another says, and to ask a large forest takes as many jobs as it has parts.
+        fitted = [s.fit(rows) for v in settings.voters for s in classifier_stages(v, n_rows, settings)]
+    # A classifier of several stages is a pipeline within; models are kept as one list of stages.
+    flat = [s for f in fitted for s in (f.stages if isinstance(f, PipelineModel) else [f])]
     return PipelineModel([*encoding.stages, *flat])
 
 

@@ -6,12 +6,12 @@ from collections import Counter
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import functions as F
 
-from siftward.models import train as training
+from siftward.models import forest, train as training
 from siftward.models.encode import category_table, encoder, feature_places, split_columns
 from siftward.models.calibrate import CalibratedSVC
 from siftward.models.evaluate import classification_report, roc_auc, roc_points
@@ -137,6 +137,45 @@ def test_comparison_and_importances(features):
         training.classifier_stages("oracle", 1)
 
 
+def test_forest_in_parts(features, spark, tmp_path, monkeypatch):
+    """Only some trees are fitted or asked at once; votes and importances are those of all trees."""
+    train, test = training.split_features(features)
+    encoding = encoder(train.drop("label"))
+    rows = encoding.transform(train).cache()
+    (stage,) = training.classifier_stages("random_forest", rows.count(), SMALL)
+    assert isinstance(stage.fit(rows), RandomForestClassificationModel)
+    monkeypatch.setattr(forest, "PART_NODES", 150)
+    fitted = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, frame: fitted.append(fit(self, frame)) or fitted[-1])
+    model = stage.fit(rows)
+    assert len(fitted) == len(model.paths) > 1 and sum(m.getNumTrees for m in fitted) == 5
+    assert all(m.totalNumNodes <= 150 or m.getNumTrees == 1 for m in fitted)
+    assert len({t.toDebugString for m in fitted for t in m.trees}) > 1
+    asked = encoding.transform(test)
+    got = {r["pkg_name"]: r for r in model.transform(asked).collect()}
+    assert len(got) == test.count() == 60
+    votes = Counter()
+    for m in fitted:
+        for r in m.transform(asked).collect():
+            votes[r["pkg_name"], 0] += r["random_forest_raw"][0]
+            votes[r["pkg_name"], 1] += r["random_forest_raw"][1]
+    for name, row in got.items():
+        assert row["random_forest_raw"].toArray().tolist() == pytest.approx([votes[name, 0], votes[name, 1]])
+        assert row["random_forest_probability"][1] == pytest.approx(votes[name, 1] / 5)
+        assert row["random_forest_prediction"] == float(votes[name, 1] > votes[name, 0])
+    each = [t.featureImportances.toArray() for m in fitted for t in m.trees]
+    assert model.featureImportances.toArray().tolist() == pytest.approx((sum(each) / 5).tolist())
+    # As a stage among others it is saved and read again.
+    whole = training.train_ensemble(train, SMALL)
+    whole.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    assert any(isinstance(s, forest.PartedForestModel) for s in loaded.stages)
+    scores = [{r["pkg_name"]: r["prediction_score"] for r in training.ensemble_scores(m, test).collect()} for m in (whole, loaded)]
+    assert scores[0] == pytest.approx(scores[1]) and len(scores[0]) == 60
+    assert training.feature_importances(train, settings=SMALL).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+
+
 def test_tuning(features):
     train, _ = training.split_features(features)
     encoded = encoder(train.drop("label")).transform(train).cache()
