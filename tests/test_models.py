@@ -176,6 +176,21 @@ def test_forest_in_parts(features, spark, tmp_path, monkeypatch):
     assert training.feature_importances(train, settings=SMALL).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
+def test_tasks_of_training(spark, monkeypatch):
+    """Each task adds up all nodes by itself, so tasks do not become more with the parts of the table."""
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 10)
+    cores = spark.sparkContext.defaultParallelism
+
+    def tasks(n, parts):
+        with training.stored(spark.range(0, n, 1, parts)) as (rows, count):
+            assert count == rows.count() == n
+            return rows.rdd.getNumPartitions()
+
+    assert tasks(1000, 40) == tasks(1000, 1) == cores and tasks(5, 40) == 1
+    monkeypatch.setattr(training, "MOST_ROWS", 100)
+    assert tasks(1000, 40) == 11
+
+
 def test_tuning(features):
     train, _ = training.split_features(features)
     encoded = encoder(train.drop("label")).transform(train).cache()
