@@ -3,7 +3,7 @@
 Spark grows all trees of a fit in the driver's memory, and a model's trees stay there as long as the model does. Trees whose
 features hardly tell the label have nearly as many nodes as rows, so a forest of hundreds is many times its input. Here a part
 has as many trees as ``PART_NODES`` allows; it is stored in the shared folder and given up before the next is fitted. A forest
-that fits in one part is Spark's own model.
+that fits in one part is Spark's own model. Many trees of rows that a task can hold are grown by tasks (``dealt``).
 """
 
 import random
@@ -18,14 +18,17 @@ from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftward.models.dealt import dealt_forest, shared_rows
 from siftward.session import cut_lineage, shared_folder
 
 #: Nodes that are in the driver at once, about half a KB each while they are fitted.
 PART_NODES = 500_000
+#: Trees that are worth being dealt out.
+MANY_TREES = 20
 
 
 class ForestInParts(Estimator):
-    """Fits the trees of ``forest`` part by part.
+    """Fits the trees of ``forest``: dealt out to tasks if they are many and a task can hold the rows, otherwise part by part.
 
     A tree has fewer nodes than twice its rows; that bounds the first part, the trees fitted so far the next ones.
     """
@@ -35,6 +38,13 @@ class ForestInParts(Estimator):
         self.forest, self.n_rows = forest, n_rows
 
     def _fit(self, rows: DataFrame) -> Model:
+        columns = [self.forest.getOrDefault(f"{c}Col") for c in ("features", "rawPrediction", "probability", "prediction")]
+        if self.forest.getNumTrees() >= MANY_TREES and (shared := shared_rows(rows)):
+            forest = self.forest
+            return dealt_forest(
+                shared, self.n_rows, forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode(),
+                forest.getFeatureSubsetStrategy(), forest.getSeed(), columns,
+            )
         missing, most = self.forest.getNumTrees(), max(1, 2 * self.n_rows)
         if missing * most <= PART_NODES:
             return self.forest.fit(rows)
@@ -58,7 +68,6 @@ class ForestInParts(Estimator):
             most = seen
         place = np.flatnonzero(total)
         shares = Vectors.sparse(len(total), place.tolist(), (total[place] / total.sum()).tolist())
-        columns = [self.forest.getOrDefault(f"{c}Col") for c in ("features", "rawPrediction", "probability", "prediction")]
         return PartedForestModel(paths, classes, columns, shares)
 
 
